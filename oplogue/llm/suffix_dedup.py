@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_folder, shuffle_partitions, small_batches, table
+from .common import read, remove, shared_folder, shuffle_partitions, small_batches, table
 
 LENGTH, ANCHOR = 200, 64
 BATCHES = 4
@@ -149,8 +149,8 @@ class IndexFamily:
     """Sorted suffix arrays on disk, at most one of each size: a new batch is scanned against all of them for suffixes
     in common, then merged with its equals, as a carry runs through a binary number."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels, self.found = spark, {}, []
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.levels, self.found = spark, folder, {}, []
 
     def add(self, batch: DataFrame) -> None:
         """``batch`` (head, anchor), a row for each indexed suffix."""
@@ -161,7 +161,7 @@ class IndexFamily:
         union = again[0]
         for x in again[1:]:
             union = union.union(x)
-        self.found.append(table(union, "repeated"))
+        self.found.append(table(union, "repeated", self.folder))
         size = 1
         while size in self.levels:
             both = array.select("head", "anchor", "n").union(self.levels.pop(size).select("head", "anchor", "n"))
@@ -171,7 +171,7 @@ class IndexFamily:
         release()
 
     def _sorted(self, array: DataFrame, name: str) -> DataFrame:
-        return table(array.sortWithinPartitions("head", "anchor"), name)
+        return table(array.sortWithinPartitions("head", "anchor"), name, self.folder)
 
     def repeated(self) -> DataFrame:
         """Anchors of all suffixes found twice or more, in a batch or across."""
@@ -279,26 +279,27 @@ def _apply(batches):
         )
 
 
-def spans(rows: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
+def spans(rows: DataFrame, scratch: str, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """``rows`` (id, th, text) -> (id, th, start, end): stretches of bytes in windows that occur twice or more.
 
     Stretches of a document may touch or overlap. Suffixes found once are dropped; a suffix whose whole context occurs
     twice or more is a hit at once; for the rest, the windows are counted, one context of each kind and suffix
-    standing for its copies.
+    standing for its copies. Tables on the way lie in the folder ``scratch``; the result does not.
     """
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
-    family = IndexFamily(spark)
+    family = IndexFamily(spark, scratch)
     for k in range(batches):
         family.add(_scan(rows.where(F.pmod(F.xxhash64("id", "th"), F.lit(batches)) == k), False))
-    hits = table(_scan(rows, True).join(family.repeated(), "anchor", "left_semi"), "hits")
+    hits = table(_scan(rows, True).join(family.repeated(), "anchor", "left_semi"), "hits", scratch)
     release()
-    kinds = table(hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "last")).alias("one")), "kinds")
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    kinds = table(hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "last")).alias("one")), "kinds", scratch)
+    # A table of its own, so that the join deals both sides anew and can split a suffix of very many kinds.
+    groups = table(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"), "groups", scratch)
     sure = hits.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(
         "id", "th", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end")
     )
-    unsure = kinds.join(groups.where("kinds > 1 and least = 1"), "anchor").select(
+    unsure = kinds.join(groups, "anchor").select(
         "one.id", "one.th", F.struct("anchor", "one.first", "one.last", "n", (F.col("kinds") > hot).alias("hot")).alias("s")
     )
     wanted = unsure.groupBy("id", "th").agg(F.collect_list("s").alias("some"))
@@ -308,9 +309,7 @@ def spans(rows: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
         _contexts, "anchor long, id long, th int, first int, n long, part int, raw binary"
     )
     counted = held.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_repeats, "id long, th int, start int, end int")
-    found = table(sure.union(counted), "spans")
-    release()
-    return found
+    return table(sure.union(counted), "spans")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, hot: int = HOT) -> DataFrame:
@@ -321,7 +320,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and null ids are documents like others. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.hash("text"))
-    found = spans(rows, batches, hot).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    scratch = shared_folder(docs.sparkSession, "suffixes")
+    found = spans(rows, scratch, batches, hot)
+    remove(docs.sparkSession, scratch)
+    release()
+    found = found.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     same = rows.id.eqNullSafe(found.id) & (rows.th == found.th)
     return rows.join(found, same, "left").select(rows.id, "text", "spans").mapInArrow(
         _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
