@@ -60,25 +60,31 @@ class LeaseProcessor(StatefulProcessor):
             return "requeued", n, "ready"
         return "not_leased", n, state
 
+    def _overdue(self, job_id: str, at: int) -> list[tuple]:
+        """Expire a lease whose deadline has come by ``at``, so that results do not hang on where batches are cut."""
+        if not self.job.exists():
+            return []
+        state, n, most, visible, _, deadline = self.job.get()
+        if state != "leased" or deadline > at:
+            return []
+        state = "dead_letter" if n >= most else "ready"
+        self.job.update((state, n, most, visible, 0, 0))
+        return [(job_id, deadline, "expired", 1, n, state)]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["at_ms", "ord"])
         out, number = [], lambda x: 0 if pd.isna(x) else int(x)
         for r in events.itertuples():
             seq = None if pd.isna(r.lease_seq) else int(r.lease_seq)
+            out += self._overdue(key[0], int(r.at_ms))
             what, n, state = self._step(int(r.at_ms), r.event, seq, number(r.max_attempts), number(r.visibility_ms))
             out.append((key[0], int(r.at_ms), what, 1, n, state))
         yield pd.DataFrame(out, columns=["job_id", "at_ms", "event", "epoch", "lease_seq", "state"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.job.exists():
-            return
-        state, n, most, visible, _, deadline = self.job.get()
-        if state != "leased" or deadline != at:
-            return
-        state = "dead_letter" if n >= most else "ready"
-        self.job.update((state, n, most, visible, 0, 0))
-        yield pd.DataFrame([(key[0], at, "expired", 1, n, state)], columns=["job_id", "at_ms", "event", "epoch", "lease_seq", "state"])
+        out = self._overdue(key[0], expiredTimerInfo.getExpiryTimeInMs())
+        if out:
+            yield pd.DataFrame(out, columns=["job_id", "at_ms", "event", "epoch", "lease_seq", "state"])
 
     def close(self) -> None:
         pass
