@@ -112,20 +112,20 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40):
     return prior, add
 
 
-FAILED = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
 def _judged(measured: DataFrame, threshold: float, fitted: DataFrame | None = None) -> DataFrame:
     """Adds base_failed, posterior and kept; the accuracies come from ``fitted``, or else from ``measured`` itself."""
     names = [f"v_{r}" for r in RULES]
     cast = votes(measured if fitted is None else fitted)
-    patterns = sorted((tuple(r[:-1]), r[-1]) for r in cast.where(~FAILED).groupBy(*names).count().collect())
+    patterns = sorted((tuple(r[:-1]), r[-1]) for r in cast.where(f"not ({FAILED})").groupBy(*names).count().collect())
     prior, add = fit(patterns)
     score = F.lit(prior)
     for (j, vote), x in add.items():
         score = score + F.when(F.col(names[j]) == vote, F.lit(x)).otherwise(0.0)
     posterior = 1 / (1 + F.exp(-score))
-    return votes(measured).withColumn("posterior", posterior).withColumn("base_failed", FAILED).withColumn(
+    return votes(measured).withColumn("posterior", posterior).withColumn("base_failed", F.expr(FAILED)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)
     )
 
