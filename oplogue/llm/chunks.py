@@ -28,6 +28,17 @@ class ChunkTable(dict):
         return [c for c in chunks if c not in self and c not in self.old]
 
 
+def grouped(sizes, limit: int):
+    """Places [start, end) of runs of texts of about ``limit`` together."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield start, i
+            start, total = i, 0
+        total += n
+    yield start, len(sizes)
+
+
 #: Tables live as long as the Python worker, which Spark reuses for many tasks.
 _kept: dict = {}
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, kept
+from .chunks import ChunkTable, grouped, kept
 from .common import read, small_batches
 
 MARK = "▁"
+#: Characters of texts whose words are looked up together.
+GROUP = 2_000_000
 _marked = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -33,13 +37,16 @@ class PieceCodec:
         for probe in ("a  b", " a", "a ", "ﬁ ①"):
             if self.lib.decode(self.lib.encode(probe)) != probe:
                 raise ValueError("this model normalises its text")
+        self.decimal = [str(i) for i in range(self.lib.get_piece_size())]
         self.mark = self.lib.piece_to_id(MARK)
         self.words = ChunkTable(self._word, size)
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """A marked word without its first marker -> its ids, and their decimal form. '' is a lone marker."""
-        ids = tuple(self.lib.encode(word)) if word else (self.mark,)
-        return ids, ",".join(map(str, ids))
+    def _word(self, word: str) -> str:
+        """A marked word without its first marker -> its ids in decimal, joined by commas. '' is a lone marker."""
+        return self._joined(self.lib.encode(word) if word else [self.mark])
+
+    def _joined(self, ids: list[int]) -> str:
+        return ",".join([self.decimal[i] for i in ids])
 
     def split(self, text: str) -> list[str]:
         """Marked words in order, each without its first marker."""
@@ -47,14 +54,20 @@ class PieceCodec:
             return [w[1:].replace(MARK, " ") for w in _marked.findall(MARK + text.replace(" ", MARK))]
         return text.split(" ") if text else []
 
-    def encode(self, text: str | None) -> tuple[list[int], str]:
-        """Ids of the whole text, and them in decimal joined by commas. Null is empty."""
-        words = self.split(text or "")
-        new = [w for w in self.words.unknown(set(words)) if w]
-        for w, ids in zip(new, self.lib.encode(new), strict=True):
-            self.words.put(w, (tuple(ids), ",".join(map(str, ids))))
-        found = list(map(self.words.__getitem__, words))
-        return list(chain.from_iterable(x[0] for x in found)), ",".join([x[1] for x in found])
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
+        """Ids of each whole text, and them in decimal joined by commas. Null is empty.
+
+        New words of about ``GROUP`` characters of texts go to the library in one call, on this task's own core.
+        """
+        get = self.words.__getitem__
+        for s, e in grouped([len(t or "") for t in texts], GROUP):
+            split = [self.split(t or "") for t in texts[s:e]]
+            new = [w for w in self.words.unknown(set(chain.from_iterable(split))) if w]
+            for w, ids in zip(new, self.lib.encode(new, num_threads=1), strict=True):
+                self.words.put(w, self._joined(ids))
+            for words in split:
+                decimal = ",".join(map(get, words))
+                yield np.fromstring(decimal, np.int32, sep=",").tolist() if words else [], decimal
 
 
 def codec(model: str) -> PieceCodec:
@@ -68,7 +81,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches):
         c = codec(model)
         for b in batches:
-            ids = [c.encode(t.as_py())[0] for t in b.column(1)]
+            ids = [ids for ids, _ in c.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.lib.decode(x) if x else "" for x in ids], pa.string())],
                 names=["doc_id", "ids", "decoded"],
@@ -85,8 +98,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         c = codec(model)
         for b in batches:
             rows = []
-            for t in b.column(1):
-                ids, decimal = c.encode(t.as_py())
+            for ids, decimal in c.encode(b.column(1).to_pylist()):
                 text = c.lib.decode(ids) if ids else ""
                 rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
             n, i, d = zip(*rows, strict=True) if rows else ((), (), ())

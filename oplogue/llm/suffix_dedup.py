@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import grouped
 from .common import read, remove, shared_folder, shuffle_partitions, small_batches, table
 
 LENGTH, ANCHOR = 200, 64
@@ -105,22 +106,11 @@ def suffixes(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc, at - base, first - base, last - base, head.view(np.int64), hashes[at].view(np.int64), context.view(np.int64)
 
 
-def _grouped(texts: list[bytes], limit: int = 4 << 20):
-    """Runs of documents of about ``limit`` bytes together."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    yield start, len(texts)
-
-
 def _scan(rows: DataFrame, places: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = [(t or "").encode() for t in b.column(2).to_pylist()]
-            for s, e in _grouped(texts):
+            for s, e in grouped([len(t) for t in texts], 4 << 20):
                 doc, _, first, last, head, anchor, context = suffixes(texts[s:e])
                 if not places:
                     yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(anchor)], names=["head", "anchor"])
