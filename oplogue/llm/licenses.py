@@ -34,6 +34,8 @@ TEMPLATES = {
     "warranty": ["the software is provided as is without warranty of any kind express or implied"],
 }
 CONTAINMENT = 0.8
+#: A template of fewer distinct words has to be there whole: one word more or less makes it another license.
+SHORT = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_OR_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -61,13 +63,18 @@ def _phrases(text: str, n_words: str) -> list[Column]:
     ]
 
 
+def needed(template: frozenset[str], containment: float = CONTAINMENT) -> int:
+    """How many of a template's distinct words a line must hold."""
+    return len(template) if len(template) < SHORT else math.ceil(containment * len(template) - 1e-9)
+
+
 def _templates() -> list[tuple[str, frozenset[str]]]:
     return [(label, frozenset(t.split())) for label, texts in TEMPLATES.items() for t in texts]
 
 
 def blocks_like(docs: DataFrame, frequency: dict[str, int], containment: float = CONTAINMENT) -> DataFrame:
     """``docs`` (id, th, text) -> (id, th, block, label, containment): every line that holds at least ``containment``
-    of a template's distinct words.
+    of a template's distinct words, or all of them where the template has fewer than ``SHORT``.
 
     Template words are put in one order, rarest in the corpus first. A line that matches a template shares one of the
     template's first |T| - need + 1 words (prefix filter), has ``need`` template words at all (length filter), and has
@@ -79,7 +86,7 @@ def blocks_like(docs: DataFrame, frequency: dict[str, int], containment: float =
     rank = {w: i for i, w in enumerate(words)}
     index = []
     for k, (label, t) in enumerate(templates):
-        order, need = sorted(t, key=rank.get), math.ceil(containment * len(t) - 1e-9)
+        order, need = sorted(t, key=rank.get), needed(t, containment)
         index += [(w, k, label, order, i, need) for i, w in enumerate(order[: len(order) - need + 1])]
     prefixes = sorted({row[0] for row in index})
     found = docs.sparkSession.createDataFrame(index, "word string, template int, label string, of array<string>, at int, need int")

@@ -20,7 +20,8 @@ def brute(text):
     for line in (text or "").translate(LOW).split("\n"):
         own = set(WORD.findall(line))
         for label, t in licenses._templates():
-            if (c := len(own & t) / len(t)) >= licenses.CONTAINMENT:
+            c = len(own & t) / len(t)
+            if c == 1 or (len(t) >= licenses.SHORT and c >= licenses.CONTAINMENT):
                 labels.add(label)
                 score = max(score, c)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
@@ -36,6 +37,7 @@ def test_matches_brute_force(spark):
     rows = awkward(7) + [(2000 + i, t, "en", "lic", 1) for i, t in enumerate(texts)] + [(2000, texts[0], "en", "lic", 1), (2000, "other", "en", "lic", 1), (None, texts[0], "en", "lic", 1)]
     got = sorted((tuple(r) for r in licenses.scan(table(spark, rows)).collect()), key=str)
     assert got == sorted(((r[0], *brute(r[1])) for r in rows), key=str)
+    assert {r[6] for r in got if r[0] == 2010} == {"apache-2.0"}
     assert any("mit" in r[6] for r in got) and any("cc-by-nc" in r[6] for r in got)
 
 
