@@ -20,6 +20,8 @@ END_ID = 2
 SKIPPABLE, SEEKABLE, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Skippable frame that holds the document ids: null flag and id for each frame.
 IDS_FRAME = 0x184D2A50
+#: str.split() cuts at these and drops them; the model keeps them as tokens.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Letters of one byte or Latin-1, then marks that are one pre-token whatever follows; the apostrophe is left out.
 _simple = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -68,7 +70,7 @@ class WordCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() if t.isascii() else re.split(r"[ \t\n\r\x0b\f]+", t.strip(" \t\n\r\x0b\f")) for t in texts]
+        split = [t.split() if t.isascii() and not any(c in t for c in SEPARATORS) else re.split(r"[ \t\n\r\x0b\f]+", t.strip(" \t\n\r\x0b\f")) for t in texts]
         self._learn(self.chunks.unknown(set(chain.from_iterable(split))))
         get = self.chunks.__getitem__
         return [b"".join(map(get, words)) for words in split]

@@ -92,3 +92,12 @@ def test_empty_table(spark):
     e = table(spark, [])
     assert token_files.read_tokens(token_files.write_tokens(e, token_files.tokenizer_path(), shared_folder(spark, "e"))).collect() == []
     assert pieces.digests(e, pieces.model_path()).collect() == []
+
+
+def test_control_characters_of_ascii_texts_are_tokens():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_files.tokenizer_path())
+    texts = ["ab\x1ccd", "\x1d", " a\x1e b\x1f\n", "\x1c\x1d x\ty\x0bz\x0c\r\x1f", "plain words", "é ab\x1ccd"]
+    got = token_files.WordCodec(token_files.tokenizer_path()).encode(texts)
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
