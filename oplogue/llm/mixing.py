@@ -50,18 +50,25 @@ def targets(sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
 def sainte_lague(parties: DataFrame, group: list[str], order: list[str], votes: str, seats: Column, at_most: Column | None = None) -> DataFrame:
     """Adds ``quota``: the ``seats`` of each group go to the highest quotients votes / (2 k + 1), ties by ``order``.
 
-    A party surely holds its proportional share less 3 seats, and never passes it by 3; only the seats in
-    between are ranked, so the work is a few rows a party whatever the number of seats.
+    A party holds round(votes / d) seats at the divisor d. With n parties of ``all`` votes together, the divisor
+    all / (seats + n / 2) gives out ``seats`` at least and all / (seats - n / 2), or one that gives none, ``seats`` at
+    most. Seats held at the second are sure; the quotients between the two, at most 2 n a group, are ranked.
     """
     of_group = Window.partitionBy(*group)
-    share = F.when(F.col("votes_all") > 0, F.col("seats") * F.col(votes) / F.col("votes_all")).otherwise(0.0)
-    base = parties.withColumn("seats", seats).withColumn("votes_all", F.sum(votes).over(of_group)).withColumn(
-        "sure", F.greatest(F.floor(share) - 3, F.lit(0))
+    with_votes = F.col(votes) > 0
+
+    def held(seats_more: Column, slack: float) -> Column:
+        return F.floor(F.col(votes) / F.col("votes_all") * F.greatest(seats_more, F.lit(0.0)) * slack + 0.5)
+
+    counted = parties.withColumn("seats", seats).withColumn("votes_all", F.sum(votes).over(of_group)).withColumn(
+        "half", F.sum(F.when(with_votes, 0.5).otherwise(0.0)).over(of_group)
     )
+    # The slack of a billionth covers what doubles round.
+    base = counted.withColumn("sure", F.when(with_votes, F.greatest(held(F.col("seats") - F.col("half"), 1 - 1e-9), F.lit(0))).otherwise(0))
     open_ = base.withColumn("open", F.col("seats") - F.sum("sure").over(of_group))
-    ranked = open_.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn(
-        "quotient", F.col(votes) / (2 * (F.col("sure") + F.col("k")) + 1)
-    ).where(F.col(votes) > 0)
+    ranked = open_.where(with_votes).withColumn("most", held(F.col("seats") + F.col("half"), 1 + 1e-9)).where("most > sure").withColumn(
+        "k", F.explode(F.sequence(F.col("sure"), F.col("most") - 1))
+    ).withColumn("quotient", F.col(votes) / (2 * F.col("k") + 1))
     best = Window.partitionBy(*group).orderBy(F.col("quotient").desc(), *order, "k")
     won = ranked.withColumn("place", F.row_number().over(best)).where("place <= open")
     quota = won.groupBy(*group, *order).agg((F.max("sure") + F.count("*")).alias("quota"))

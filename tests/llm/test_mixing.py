@@ -42,3 +42,20 @@ def test_targets_and_taken(spark):
 
 def test_empty_table(spark):
     assert mixing.taken(mixing.sizes(table(spark, []))).collect() == []
+
+
+def test_seats_equal_one_at_a_time_with_many_small_parties(spark):
+    from pyspark.sql import functions as F
+
+    cases = {
+        "a": ([1000.0] + [0.6] * 1000, 1600), "b": ([1000.0] + [0.4] * 1000, 1400), "c": ([5.0, 0.0, 3.0, 3.0, 1.0], 7),
+        "d": ([2.0, 2.0, 2.0], 1), "e": ([0.0, 0.0], 3), "f": ([7.0, 1.0], 0), "g": ([1.0 * i for i in range(300)], 90),
+    }
+    df = spark.createDataFrame([(g, i, v, n) for g, (votes, n) in cases.items() for i, v in enumerate(votes)], "g string, i int, v double, n long")
+    got = {(r.g, r.i): r.quota for r in mixing.sainte_lague(df, ["g"], ["i"], "v", F.col("n")).collect()}
+    for g, (votes, n) in cases.items():
+        won = [0] * len(votes)
+        for _ in range(n if any(votes) else 0):
+            won[max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
+        assert [got[g, i] for i in range(len(votes))] == won
+    assert got["a", 0] == 833 and got["b", 0] == 1250
