@@ -1,4 +1,4 @@
-"""License scans: phrases that stand in the text, and blocks that contain a template, in DataFrame functions only."""
+"""License scans: phrases that stand in the text, and blocks of it that contain a template, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -64,7 +64,7 @@ def _phrases(text: str, n_words: str) -> list[Column]:
 
 
 def needed(template: frozenset[str], containment: float = CONTAINMENT) -> int:
-    """How many of a template's distinct words a line must hold."""
+    """How many of a template's distinct words a block must hold."""
     return len(template) if len(template) < SHORT else math.ceil(containment * len(template) - 1e-9)
 
 
@@ -72,44 +72,74 @@ def _templates() -> list[tuple[str, frozenset[str]]]:
     return [(label, frozenset(t.split())) for label, texts in TEMPLATES.items() for t in texts]
 
 
-def blocks_like(docs: DataFrame, frequency: dict[str, int], containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` (id, th, text) -> (id, th, block, label, containment): every line that holds at least ``containment``
-    of a template's distinct words, or all of them where the template has fewer than ``SHORT``.
+def window(template: str, containment: float = CONTAINMENT) -> int:
+    """Words of a window across lines: the template's with its repeats, and as many more as may be missing."""
+    return math.ceil(len(template.split()) / containment - 1e-9)
+
+
+def _held(of: Column, blocks: Column) -> Column:
+    """The most distinct words of ``of`` that one of ``blocks`` holds."""
+    return F.array_max(F.transform(blocks, lambda x: F.size(F.array_intersect(of, F.split(x, r"[ \n]+")))))
+
+
+def _held_near(of: Column, size: Column, words: Column) -> Column:
+    """The most distinct words of ``of`` in ``size`` words that follow each other, wherever lines end."""
+    places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(of, x["w"]))
+
+    def from_here(all_places: Column) -> Column:
+        return F.transform(all_places, lambda x, j: F.size(F.array_distinct(F.transform(
+            F.filter(F.slice(all_places, j + 1, size), lambda y: y["i"] < x["i"] + size), lambda y: y["w"]
+        ))))
 
-    Template words are put in one order, rarest in the corpus first. A line that matches a template shares one of the
-    template's first |T| - need + 1 words (prefix filter), has ``need`` template words at all (length filter), and has
-    enough words left from that place on (positional filter). What passes is counted. The index holds a row for each
-    prefix word of each template, so its size is that of the list above.
+    # A transform over one row binds ``places``, so that it is not made again for each start.
+    return F.coalesce(F.array_max(F.flatten(F.transform(F.array(places), from_here))), F.lit(0))
+
+
+def blocks_like(docs: DataFrame, frequency: dict[str, int], containment: float = CONTAINMENT) -> DataFrame:
+    """``docs`` (id, th, text) -> (id, th, label, containment): every text with a block that holds at least
+    ``containment`` of a template's distinct words, or all of them where the template has fewer than ``SHORT``.
+
+    Blocks are the paragraphs (lines up to one without words), for short templates the lines instead, and for all
+    templates every window of :func:`window` words, wherever lines end. Template words are put in one order, rarest in
+    the corpus first. A text with such a block shares one of the template's first |T| - need + 1 words (prefix filter),
+    has ``need`` template words at all (length filter), and has enough words left from that place on (positional
+    filter). In what passes, each block is counted. The index holds a row for each prefix word of each template, so
+    its size is that of the list above.
     """
-    templates = _templates()
-    words = sorted({w for _, t in templates for w in t}, key=lambda w: (frequency.get(w, 0), w))
+    texts = [(label, t) for label, some in TEMPLATES.items() for t in some]
+    words = sorted({w for _, t in _templates() for w in t}, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(words)}
     index = []
-    for k, (label, t) in enumerate(templates):
+    for k, (label, text) in enumerate(texts):
+        t = frozenset(text.split())
         order, need = sorted(t, key=rank.get), needed(t, containment)
-        index += [(w, k, label, order, i, need) for i, w in enumerate(order[: len(order) - need + 1])]
+        index += [(w, k, label, order, i, need, window(text, containment)) for i, w in enumerate(order[: len(order) - need + 1])]
     prefixes = sorted({row[0] for row in index})
-    found = docs.sparkSession.createDataFrame(index, "word string, template int, label string, of array<string>, at int, need int")
+    found = docs.sparkSession.createDataFrame(index, "word string, template int, label string, of array<string>, at int, need int, wide int")
     normal = F.regexp_replace(lower_ascii(F.col("text")), NOT_WORD_OR_LINE, " ")
     some = "(^|[ \\n])(" + "|".join(prefixes) + ")([ \\n]|$)"
-    lines = docs.select("id", "th", normal.alias("normal")).where(F.col("normal").rlike(some)).select(
-        "id", "th", F.posexplode(F.split("normal", "\n", -1)).alias("block", "line")
-    )
-    held = lines.select("id", "th", "block", F.array_intersect(F.array(*map(F.lit, words)), F.split("line", " ")).alias("own")).where(
-        F.size("own") >= min(row[5] for row in index)
-    )
-    near = held.select("id", "th", "block", "own", F.posexplode("own").alias("j", "word")).join(F.broadcast(found), "word").where(
+    held = docs.select("id", "th", normal.alias("normal")).where(F.col("normal").rlike(some)).select(
+        "id", "th", "normal", F.array_intersect(F.array(*map(F.lit, words)), F.split("normal", r"[ \n]+")).alias("own")
+    ).where(F.size("own") >= min(row[5] for row in index))
+    starts = F.filter(F.transform("own", lambda w, j: F.struct(w.alias("word"), j.alias("j"))), lambda x: x["word"].isin(prefixes))
+    near = held.select("id", "th", "normal", "own", F.explode(starts).alias("s")).select("id", "th", "normal", "own", "s.*").join(
+        F.broadcast(found), "word"
+    ).where(
         (F.size("own") >= F.col("need")) & (1 + F.least(F.size("of") - F.col("at") - 1, F.size("own") - F.col("j") - 1) >= F.col("need"))
+        & (F.size(F.array_intersect("of", "own")) >= F.col("need"))
+        & (F.size(F.array_intersect(F.slice("of", F.lit(1), F.col("at")), "own")) == 0)  # else an earlier word brings the pair
     )
-    counted = near.withColumn("shared", F.size(F.array_intersect("of", "own"))).where("shared >= need")
-    return counted.select("id", "th", "block", "label", (F.col("shared") / F.size("of")).alias("containment"))
+    paragraphs = F.when(F.size("of") < SHORT, F.split("normal", "\n")).otherwise(F.split("normal", r"\n *\n"))
+    both = F.greatest(_held(F.col("of"), paragraphs), _held_near(F.col("of"), F.col("wide"), F.split(F.trim(F.translate("normal", "\n", " ")), " +")))
+    counted = near.withColumn("shared", both).where("shared >= need")
+    return counted.select("id", "th", "label", (F.col("shared") / F.size("of")).alias("containment"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A-Z is lower-cased; null texts are empty and have no words. Labels are the base labels and those of templates that
-    a line contains; score is the largest containment found, 1 where a base phrase stands. Repeated rows and null ids
+    a block contains; score is the largest containment found, 1 where a base phrase stands. Repeated rows and null ids
     keep a row each. Other columns are not read. Only the corpus counts of the templates' own words reach the driver.
     """
     vocabulary = sorted({w for _, t in _templates() for w in t})

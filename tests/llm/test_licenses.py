@@ -43,3 +43,45 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(table(spark, [])).collect() == []
+
+
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General
+# Public License as published by the Free Software Foundation"""
+
+
+def windows_brute(text):
+    words = WORD.findall((text or "").translate(LOW))
+    out = set()
+    for label, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            own, wide = frozenset(t.split()), licenses.window(t)
+            if max(len(own & set(words[i : i + wide])) for i in range(max(len(words), 1))) >= licenses.needed(own):
+                out.add(label)
+    return out
+
+
+def test_hard_wrapped_notices(spark):
+    texts = [
+        MIT, BSD, GPL, "Released under\nthe MIT\nLicense.", "Licensed under the Apache\n\nLicense, Version 2.0", MIT.replace("\n", "\r\n"), "x y\n" * 500 + BSD + "\nz" * 500,
+        "licensed\nunder\none\ntwo\nthree\nthe\nmit\nlicense", "\n".join(BSD.split()), "\n\n".join(MIT.split()), "free and software into domain\nwithout warranty",
+    ]
+    got = {r.doc_id: (set(r.labels.split(",")) - {""}, r.score) for r in licenses.scan(table(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])).collect()}
+    assert [got[i][0] for i in range(3)] == [{"mit"}, {"bsd"}, {"gpl"}] and got[1][1] == 1.0
+    assert {i: got[i][0] for i in got} == {i: windows_brute(t) | set(brute(t)[5].split(",")) - {""} for i, t in enumerate(texts)}
+    assert got[7][0] == set() and got[9][0] == {"mit"}
+
+
+def test_dispersed_words_of_a_paragraph(spark):
+    words = licenses.TEMPLATES["bsd"][0].split()
+    apart = " and so it went\n".join(" ".join(words[i : i + 3]) for i in range(0, len(words), 3))
+    rows = [(1, apart, "en", "a", 1), (2, apart.replace("\n", "\n \n"), "en", "a", 1)]
+    assert {r.doc_id: r.labels for r in licenses.scan(table(spark, rows)).collect()} == {1: "bsd", 2: ""}
