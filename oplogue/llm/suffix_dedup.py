@@ -21,9 +21,8 @@ from .common import read, remove, shared_folder, shuffle_partitions, small_batch
 
 LENGTH, ANCHOR = 200, 64
 BATCHES = 4
-#: Contexts of one suffix beyond which its windows are dealt to many tasks.
+#: Contexts of one suffix beyond which Spark counts its windows, each a row, so that no task holds the suffix.
 HOT = 20_000
-SPLIT = 64
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -172,44 +171,59 @@ class IndexFamily:
 
 
 def _contexts(batches):
-    """Documents with the suffixes to compare -> the bytes of their windows, or for hot suffixes the windows' hashes
-    dealt into SPLIT parts."""
+    """Documents with the suffixes to compare -> the bytes of their windows."""
     for b in batches:
         out = []
         ids, ths, texts, lists = (b.column(k).to_pylist() for k in range(4))
         for i, th, text, some in zip(ids, ths, texts, lists, strict=True):
             raw = (text or "").encode()
-            for x in some:
-                piece = raw[x["first"] : x["last"] + LENGTH]
-                if not x["hot"]:
-                    out.append((x["anchor"], i, th, x["first"], x["n"], 0, piece))
-                    continue
-                h = Rolling(np.frombuffer(piece, np.uint8)).each(LENGTH)
-                part = (h % np.uint64(SPLIT)).astype(np.int64)
-                for p in np.unique(part).tolist():
-                    k = np.flatnonzero(part == p)
-                    out.append((x["anchor"], i, th, x["first"], x["n"], p + 1, k.astype("<u4").tobytes() + h[k].tobytes()))
+            out += [(x["anchor"], i, th, x["first"], x["n"], raw[x["first"] : x["last"] + LENGTH]) for x in some]
         if out:
-            a, i, th, f, n, p, raw = zip(*out, strict=True)
+            a, i, th, f, n, raw = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(i, pa.int64()), pa.array(th, pa.int32()), pa.array(f, pa.int32()), pa.array(n, pa.int64()), pa.array(p, pa.int32()), pa.array(raw, pa.binary())],
-                names=["anchor", "id", "th", "first", "n", "part", "raw"],
+                [pa.array(a, pa.int64()), pa.array(i, pa.int64()), pa.array(th, pa.int32()), pa.array(f, pa.int32()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())],
+                names=["anchor", "id", "th", "first", "n", "raw"],
             )
 
 
+def _windows(batches):
+    """Documents with hot suffixes -> a row for each window: the place of its context, its own start and hash."""
+    for b in batches:
+        ids, ths, texts, lists = (b.column(k).to_pylist() for k in range(4))
+        for i, th, text, some in zip(ids, ths, texts, lists, strict=True):
+            raw = (text or "").encode()
+            for s, e in grouped([x["last"] - x["first"] + 1 for x in some], 100_000):
+                starts = [np.arange(x["first"], x["last"] + 1) for x in some[s:e]]
+                hashes = [Rolling(np.frombuffer(raw[x["first"] : x["last"] + LENGTH], np.uint8)).each(LENGTH) for x in some[s:e]]
+                sizes = [len(x) for x in starts]
+                anchor, first, n = (np.repeat(np.array([x[c] for x in some[s:e]], np.int64), sizes) for c in ("anchor", "first", "n"))
+                k = len(anchor)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), pa.array(np.concatenate(hashes).view(np.int64)), pa.array([i] * k, pa.int64()), pa.array([th] * k, pa.int32()), pa.array(first.astype(np.int32)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(n)],
+                    names=["anchor", "window", "id", "th", "first", "start", "n"],
+                )
+
+
+def _hot_repeats(windows: DataFrame) -> DataFrame:
+    """Rows of :func:`_windows` -> stretches (id, th, start, end) whose windows occur twice or more.
+
+    All windows of a context hold its indexed place, so those that repeat make one stretch.
+    """
+    often = windows.groupBy("anchor", "window").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "window")
+    return windows.join(often, ["anchor", "window"], "left_semi").groupBy("id", "th", "first").agg(
+        F.min("start").alias("start"), (F.max("start") + LENGTH).alias("end")
+    ).select("id", "th", "start", "end")
+
+
 def _repeats(batches):
-    """Contexts sorted by (anchor, part) -> stretches [start, end) whose windows occur twice or more."""
+    """Contexts sorted by anchor -> stretches [start, end) whose windows occur twice or more."""
     left: list = []
 
     def settle(rows):
         keys, starts, owner, weight = [], [], [], []
-        for r, (_, _, _, first, n, part, raw) in enumerate(rows):
-            if part:
-                k = len(raw) // 12
-                at, h = np.frombuffer(raw, "<u4", k).astype(np.int64), np.frombuffer(raw, np.uint64, k, 4 * k)
-            else:
-                h = Rolling(np.frombuffer(raw, np.uint8)).each(LENGTH)
-                at = np.arange(len(h))
+        for r, (_, _, _, first, n, raw) in enumerate(rows):
+            h = Rolling(np.frombuffer(raw, np.uint8)).each(LENGTH)
+            at = np.arange(len(h))
             keys.append(h ^ _mix(np.array([rows[r][0]], np.int64).view(np.uint64)))
             starts.append(at + first)
             owner.append(np.full(len(h), r))
@@ -231,11 +245,11 @@ def _repeats(batches):
         )
 
     for b in batches:
-        left += list(zip(*(b.column(k).to_pylist() for k in range(7)), strict=True))
+        left += list(zip(*(b.column(k).to_pylist() for k in range(6)), strict=True))
         if left:
-            last = (left[-1][0], left[-1][5])
+            last = left[-1][0]
             cut = len(left)
-            while cut and (left[cut - 1][0], left[cut - 1][5]) == last:
+            while cut and left[cut - 1][0] == last:
                 cut -= 1
             if cut:
                 yield from settle(left[:cut])
@@ -274,7 +288,7 @@ def spans(rows: DataFrame, scratch: str, batches: int = BATCHES, hot: int = HOT)
 
     Stretches of a document may touch or overlap. Suffixes found once are dropped; a suffix whose whole context occurs
     twice or more is a hit at once; for the rest, the windows are counted, one context of each kind and suffix
-    standing for its copies. Tables on the way lie in the folder ``scratch``; the result does not.
+    standing for its copies; those of suffixes with more than ``hot`` kinds by Spark, a row each. Tables on the way lie in the folder ``scratch``; the result does not.
     """
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
@@ -289,16 +303,22 @@ def spans(rows: DataFrame, scratch: str, batches: int = BATCHES, hot: int = HOT)
     sure = hits.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(
         "id", "th", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end")
     )
-    unsure = kinds.join(groups, "anchor").select(
-        "one.id", "one.th", F.struct("anchor", "one.first", "one.last", "n", (F.col("kinds") > hot).alias("hot")).alias("s")
-    )
-    wanted = unsure.groupBy("id", "th").agg(F.collect_list("s").alias("some"))
     small_batches(spark)
-    same = rows.id.eqNullSafe(wanted.id) & (rows.th == wanted.th)
-    held = rows.join(wanted, same).select(rows.id, rows.th, "text", "some").mapInArrow(
-        _contexts, "anchor long, id long, th int, first int, n long, part int, raw binary"
-    )
-    counted = held.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_repeats, "id long, th int, start int, end int")
+
+    def held(some_groups: DataFrame, run, made: str) -> DataFrame:
+        unsure = kinds.join(some_groups, "anchor").select("one.id", "one.th", F.struct("anchor", "one.first", "one.last", "n").alias("s"))
+        wanted = unsure.groupBy("id", "th").agg(F.collect_list("s").alias("some"))
+        same = rows.id.eqNullSafe(wanted.id) & (rows.th == wanted.th)
+        return rows.join(wanted, same).select(rows.id, rows.th, "text", "some").mapInArrow(run, made)
+
+    is_hot = F.col("kinds") > hot
+    contexts = held(groups.where(~is_hot), _contexts, "anchor long, id long, th int, first int, n long, raw binary")
+    counted = contexts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeats, "id long, th int, start int, end int")
+    if not groups.where(is_hot).isEmpty():
+        windows = table(held(groups.where(is_hot), _windows, "anchor long, window long, id long, th int, first int, start int, n long"), "windows", scratch)
+        counted = counted.union(table(_hot_repeats(windows), "hot", scratch))
+        del windows
+        release()
     return table(sure.union(counted), "spans")
 
 

@@ -52,3 +52,19 @@ def test_matches_brute_force(spark, batches, hot):
 
 def test_empty_table(spark):
     assert suffix_dedup.suffix_dedup(table(spark, [])).collect() == []
+
+
+def test_no_python_task_holds_a_hot_suffix(spark, monkeypatch):
+    def none_come(batches):
+        for b in batches:
+            assert not b.num_rows
+            yield b.select([])
+
+    monkeypatch.setattr(suffix_dedup, "_repeats", none_come)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    same, longer = text(150), text(40)
+    rows = [(i, text(300) + same + (longer if i % 5 == 0 else "") + text(300), "en", "p", 1) for i in range(60)]
+    got = suffix_dedup.suffix_dedup(table(spark, rows + [(None, rows[7][1][200:620], "en", "p", 1)]), hot=1).collect()
+    want = brute([r[1] for r in rows] + [rows[7][1][200:620]])
+    assert sorted((tuple(r)[1:5] for r in got), key=str) == sorted(want, key=str) and any(w[1] for w in want)
