@@ -2,61 +2,66 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, kept
-from .common import cut, read, shared_folder, shuffle_partitions, small_batches
+from .chunks import ChunkTable, grouped, kept
+from .common import cut, read, shared_folder, shuffle_partitions
 
 END_ID = 2
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEKABLE, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Skippable frame that holds the document ids: null flag and id for each frame.
 IDS_FRAME = 0x184D2A50
-#: str.split() cuts at these and drops them; the model keeps them as tokens.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Letters of one byte or Latin-1, then marks that are one pre-token whatever follows; the apostrophe is left out.
-_simple = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+SIMPLE = r"^(?P<w>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<m>[!-&(-/:-@\[-`{-~]*)$"
+#: Words that a loaded model is probed with.
+PROBES = ["a", "The", "Straße", "ÄÖÜ", "don't", "x1y", "word", "Étude", "end.", "UPPER", "(b)", "zz"]
+#: Characters of texts whose chunks are looked up together.
+GROUP = 6_000_000
 
 
 class WordCodec:
     """Ids of a whole text from the ids of its chunks between white space, each encoded once.
 
-    The model's own rules drop white space and cut there, so chunks cannot touch. A chunk of plain letters and marks
-    is cut once more, into what the model cuts as well.
+    Models that drop white space and cut there have no ids across chunks; texts of others are encoded whole. If the model
+    also lower-cases and ends words with a piece of their own, a chunk of plain letters and marks is cut once more, into
+    what the model cuts as well. Each property is probed with the loaded model, not taken for granted. Chunks are looked
+    up once a batch; the parts of them are kept for the next batches.
     """
 
-    def __init__(self, path: str, size: int = 250_000):
+    def __init__(self, path: str, size: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.chunks = ChunkTable(self._chunk, size)
         self.parts = ChunkTable(self._part, size)
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
+        ids = lambda text: self.lib.encode(text, add_special_tokens=False).ids
+        one = [ids(w) for w in PROBES]
+        self.by_chunk = all(ids(gap.join(PROBES)) == sum(one, []) for gap in (" ", "\n", "\t", "  ", "\r\n", "\x0b", "\x0c")) and all(
+            ids(f"{gap}{w}{gap}") == x for w, x in zip(PROBES, one, strict=True) for gap in " \n\t\r\x0b\x0c"
+        )
+        self.by_part = self.by_chunk and all(
+            ids(w + m) == ids(w.lower()) + ids(m) for w in PROBES if w.isalpha() for m in ("", ".", "?!", '"),', "...", ")", "-", "_", "#$%")
+        )
 
     def _part(self, part: str) -> bytes:
         return np.array(self.lib.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if m := _simple.fullmatch(chunk):
-            return self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
-        return self._part(chunk)
-
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Encode new words together, a space between two: their ids part after each end-of-word piece."""
-        words = self.parts.unknown({m[1].lower() for c in chunks if (m := _simple.fullmatch(c))})
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
             ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -68,12 +73,40 @@ class WordCodec:
                 self.parts.put(w, raw[4 * last : 4 * c])
                 last = c
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() if t.isascii() and not any(c in t for c in SEPARATORS) else re.split(r"[ \t\n\r\x0b\f]+", t.strip(" \t\n\r\x0b\f")) for t in texts]
-        self._learn(self.chunks.unknown(set(chain.from_iterable(split))))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _cut(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct chunks -> distinct parts, and the places of each chunk's one or two among them; an empty part last."""
+        found = pc.extract_regex(chunks, SIMPLE) if self.by_part else pa.nulls(len(chunks), pa.struct([("w", pa.string()), ("m", pa.string())]))
+        plain = found.is_valid()
+        word = pc.if_else(plain, pc.utf8_lower(pc.struct_field(found, "w")), chunks)
+        both = pa.concat_arrays([word, pc.fill_null(pc.struct_field(found, "m"), ""), pa.array([""])]).dictionary_encode()
+        code = both.indices.to_numpy()
+        return both.dictionary, code[: len(chunks)], code[len(chunks) : -1]
+
+    def encode(self, texts: pa.Array) -> Iterator[memoryview]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            yield from (memoryview(self._part(t.as_py())) for t in texts)
+            return
+        for s, e in grouped(pc.binary_length(texts).to_pylist(), GROUP):
+            split = pc.ascii_split_whitespace(texts.slice(s, e - s))
+            ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+            words = split.flatten().dictionary_encode()
+            parts, first, second = self._cut(words.dictionary)
+            parts = parts.to_pylist()
+            if self.by_part:
+                self._learn(self.parts.unknown(w for w in parts if w.isalpha() and max(w) <= "ÿ"))
+            raw = [self.parts[w] if w else b"" for w in parts]
+            size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            ids, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+            code = words.indices.to_numpy()
+            each = np.empty(2 * len(code), np.int64)
+            each[0::2], each[1::2] = first[code], second[code]
+            n = size[each]
+            upto = np.r_[0, np.cumsum(n)]
+            made = memoryview(ids[np.repeat(start[each] - upto[:-1], n) + np.arange(upto[-1])].tobytes())
+            cuts = (4 * upto[2 * ends]).tolist()
+            yield from (made[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def codec(path: str) -> WordCodec:
@@ -158,7 +191,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     leave no trace in what readers see. Null texts are empty and hold the end id alone. Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def run(batches):
         import uuid
@@ -173,9 +205,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         with fs.open_output_stream(f"{top}/{name}", compression=None) as out:
             writer = FrameWriter(out)
             for b in batches:
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                for doc_id, raw in zip(b.column(0).to_pylist(), c.encode(texts), strict=True):
-                    writer.add(doc_id, raw + end)
+                for doc_id, raw in zip(b.column(0).to_pylist(), c.encode(b.column(1)), strict=True):
+                    writer.add(doc_id, b"".join((raw, end)))
                     n_docs, n_ids = n_docs + 1, n_ids + len(raw) // 4 + 1
             writer.finish()
         if n_docs:
@@ -184,9 +215,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
             fs.delete_file(f"{top}/{name}")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
+    # The start of the text, which sorts as the text does, parts rows of one id or none.
+    parts = rows.repartitionByRange(
+        shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)
+    ).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return cut(parts.mapInArrow(run, "part int, path string, n_docs long, n_ids long"))
 
 

@@ -2,6 +2,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from oplogue.llm import pieces, token_files
@@ -99,5 +100,32 @@ def test_control_characters_of_ascii_texts_are_tokens():
 
     lib = Tokenizer.from_file(token_files.tokenizer_path())
     texts = ["ab\x1ccd", "\x1d", " a\x1e b\x1f\n", "\x1c\x1d x\ty\x0bz\x0c\r\x1f", "plain words", "é ab\x1ccd"]
-    got = token_files.WordCodec(token_files.tokenizer_path()).encode(texts)
+    got = token_files.WordCodec(token_files.tokenizer_path()).encode(pa.array(texts))
     assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_models_with_other_rules_are_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    words = {w: i for i, w in enumerate(["<u>", "a", "b", " ", "A", "ab", "B"])}
+    cases = {
+        "case": Tokenizer(models.WordPiece(words, unk_token="<u>", continuing_subword_prefix="")), "spaces": Tokenizer(models.BPE(words, [], unk_token="<u>")),
+    }
+    cases["case"].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    texts = ["a b", "A ab", "ab  B\n", "", "a"]
+    for name, lib in cases.items():
+        lib.save(str(tmp_path / name))
+        c = token_files.WordCodec(str(tmp_path / name))
+        assert not c.by_part and c.by_chunk == (name == "case")
+        assert [np.frombuffer(r, "<u4").tolist() for r in c.encode(pa.array(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_text_and_shared_ids(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_files.tokenizer_path())
+    rows = [(7, "one Long, long text. " * 60_000), (None, "b"), (None, "a"), (7, "x"), (7, "x")]
+    manifest = token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), token_files.tokenizer_path(), shared_folder(spark, "l"))
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_tokens(manifest).collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(g[1], g[2]) for g in got] == [(i, len(lib.encode(t, add_special_tokens=False).ids) + 1) for i, t in order]
