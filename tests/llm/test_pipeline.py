@@ -75,17 +75,21 @@ def mixed(spark, rows):
     won = Counter()
     for _ in range(int(sum(total.values()) / mixing.BLOCK + 0.5)):  # a seat at a time
         won[max(order, key=lambda s: (want[s] / (2 * won[s] + 1), -order.index(s)))] += 1
-    hashes = {r.doc_id: r.h for r in table(spark, rows, DOCUMENTS).select("doc_id", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(mixing.SEED)).alias("h")).collect()}
+    hashes = {r.doc_id: r.h for r in table(spark, rows, DOCUMENTS).select("doc_id", F.xxhash64("doc_id", F.md5("text"), F.lit(mixing.SEED)).alias("h")).collect()}
     out = []
     for rank, s in enumerate(order):
-        blocks = -(-total[s] // mixing.BLOCK)
+        own = [r for r in rows if r[3] == s]
+        n_shards = max(-(-total[s] // mixing.SHARD), -(-len(own) // mixing.ROWS))
+        assert n_shards == 1
+        blocks = max(int(total[s] / mixing.BLOCK + 0.5), 1)
         quota = min(won[s], mixing.LIMIT * blocks)
-        offset = (mixing.SEED * 7919 + rank * 104729) % max(blocks, 1)
+        offset = (mixing.SEED * 7919 + rank * 104729) % blocks
         times = [quota // blocks + ((j * mixing.STEP + offset) % blocks < quota % blocks) for j in range(blocks)]
+        of = [j for j in range(blocks) for _ in range(j * total[s] // blocks, (j + 1) * total[s] // blocks)]
         at = 0
-        for r in sorted((r for r in rows if r[3] == s), key=lambda r: (r[0] is not None, r[0] or 0)):
+        for r in sorted(own, key=lambda r: (r[0] is not None, r[0] or 0)):
             n = size[r[0]]
-            share = sum(times[k // mixing.BLOCK] for k in range(at, at + n)) / max(n, 1)
+            share = sum(times[of[k]] for k in range(at, at + n)) / max(n, 1)
             at += n
             out += [r] * (int(share) + ((hashes[r[0]] % (1 << 20)) / (1 << 20) < share - int(share)))
     return out
