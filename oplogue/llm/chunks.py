@@ -47,3 +47,11 @@ def kept(key, make):
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
+
+
+def latest(key, tag, make):
+    """Like :func:`kept`, but one value a key: another ``tag`` replaces it."""
+    if _kept.get(key, (None, None))[0] != tag:
+        _kept.pop(key, None)
+        _kept[key] = tag, make()
+    return _kept[key][1]

@@ -44,6 +44,26 @@ def table(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``file`` (a hash of the file's path) and ``row`` (the row's place in it), which tell rows apart.
+
+    What is not read from files, or has no hidden file columns any more, is first written to the shared folder.
+    """
+    from pyspark.errors import AnalysisException
+
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    if "_metadata" not in docs.columns:
+        try:
+            found = docs.select("*", *place)
+            found.schema  # noqa: B018  resolves now
+            return found
+        except AnalysisException:
+            pass
+    hidden = docs.withColumnRenamed("_metadata", "metadata of the table") if "_metadata" in docs.columns else docs
+    found = table(hidden, "located").select("*", *place)
+    return found.withColumnRenamed("metadata of the table", "_metadata") if "_metadata" in docs.columns else found
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared root whose tables nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,10 +1,16 @@
-"""SentencePiece encoding and decoding through a table of distinct marked words."""
+"""SentencePiece encoding and decoding through a table of distinct marked words.
+
+No piece of such a model has a marker after another character, so no merge crosses into the next marked word. Each
+distinct word of the corpus is segmented once, into a table that Spark builds and joins back by position: its most frequent
+words are broadcast, at most ``FREQUENT`` of at most ``SHORT`` bytes, and a text becomes the numbers of its words; the
+words beyond that are joined to their places in each text by a shuffle.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -12,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, grouped, kept
-from .common import read, small_batches
+from .chunks import kept, latest
+from .common import located, read, shared_folder, table
 
 MARK = "▁"
-#: Characters of texts whose words are looked up together.
-GROUP = 2_000_000
+#: Words of the broadcast part of the table, and bytes of each: 100 MB at the very most, some 20 MB in practice.
+FREQUENT, SHORT = 1 << 20, 48
 _marked = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -28,7 +34,7 @@ class PieceCodec:
     and if the model neither drops nor maps characters; both are tested when the model is loaded.
     """
 
-    def __init__(self, model: str, size: int = 250_000):
+    def __init__(self, model: str):
         from sentencepiece import SentencePieceProcessor
 
         self.lib = SentencePieceProcessor(model_file=model)
@@ -37,83 +43,140 @@ class PieceCodec:
         for probe in ("a  b", " a", "a ", "ﬁ ①"):
             if self.lib.decode(self.lib.encode(probe)) != probe:
                 raise ValueError("this model normalises its text")
-        self.decimal = [str(i) for i in range(self.lib.get_piece_size())]
         self.mark = self.lib.piece_to_id(MARK)
-        self.words = ChunkTable(self._word, size)
 
-    def _word(self, word: str) -> str:
-        """A marked word without its first marker -> its ids in decimal, joined by commas. '' is a lone marker."""
-        return self._joined(self.lib.encode(word) if word else [self.mark])
+    def segment(self, words: list[str]) -> list[list[int]]:
+        """Ids of marked words, each given without its first marker. '' is a lone marker."""
+        made = iter(self.lib.encode([w for w in words if w], num_threads=1))
+        return [next(made) if w else [self.mark] for w in words]
 
-    def _joined(self, ids: list[int]) -> str:
-        return ",".join([self.decimal[i] for i in ids])
 
-    def split(self, text: str) -> list[str]:
-        """Marked words in order, each without its first marker."""
-        if MARK in text or "  " in text or text[:1] == " " or text[-1:] == " ":
-            return [w[1:].replace(MARK, " ") for w in _marked.findall(MARK + text.replace(" ", MARK))]
-        return text.split(" ") if text else []
+def split(text: str | None) -> list[str]:
+    """Marked words in order, each without its first marker. Null is empty."""
+    if not text:
+        return []
+    if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return [w[1:].replace(MARK, " ") for w in _marked.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
-        """Ids of each whole text, and them in decimal joined by commas. Null is empty.
 
-        New words of about ``GROUP`` characters of texts go to the library in one call, on this task's own core.
-        """
-        get = self.words.__getitem__
-        for s, e in grouped([len(t or "") for t in texts], GROUP):
-            split = [self.split(t or "") for t in texts[s:e]]
-            new = [w for w in self.words.unknown(set(chain.from_iterable(split))) if w]
-            for w, ids in zip(new, self.lib.encode(new, num_threads=1), strict=True):
-                self.words.put(w, self._joined(ids))
-            for words in split:
-                decimal = ",".join(map(get, words))
-                yield np.fromstring(decimal, np.int32, sep=",").tolist() if words else [], decimal
+class Frequent:
+    """The broadcast part of the table: numbers of words, and their ids end to end."""
 
+    def __init__(self, raw: bytes):
+        got = pa.ipc.open_stream(raw).read_all()
+        self.number = {w: i for i, w in enumerate(got.column("word").to_pylist())}
+        ids = got.column("ids").combine_chunks()
+        self.ids = np.frombuffer(ids.buffers()[2], "<i4") if len(got) else np.empty(0, np.int32)
+        self.at = np.frombuffer(ids.buffers()[1], np.int32, len(got) + 1, 4 * ids.offset).astype(np.int64) // 4 if len(got) else np.zeros(1, np.int64)
 
-def codec(model: str) -> PieceCodec:
-    return kept(("pieces", model), lambda: PieceCodec(model))
 
+def frequent(broadcast, tag: str) -> Frequent:
+    """The worker's table of the call ``tag``; an earlier call's makes way for it."""
+    return latest("frequent", tag, lambda: Frequent(broadcast.value))
 
-def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, decoded) of every whole text: a null text is empty and has no ids. Rows stay as they
-    are, repeated ones and null ids too; other columns are not read."""
 
-    def run(batches):
-        c = codec(model)
-        for b in batches:
-            ids = [ids for ids, _ in c.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.lib.decode(x) if x else "" for x in ids], pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
+def codec(model: str) -> PieceCodec:
+    return kept(("pieces", model), lambda: PieceCodec(model))
 
-    return _over(docs, id_col, text_col, run, "ids array<int>, decoded string")
 
+def word_table(texts: DataFrame, model: str) -> DataFrame:
+    """``texts`` (text) -> (word, n, ids): every distinct marked word, how often it stands, its ids as little-endian
+    integers. A batch counts its own words, Spark adds the counts up, and each word is segmented by one task."""
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what :func:`encode_decode` gives, made where the ids are, so
-    that ids and texts need not leave the worker."""
+    def count(batches):
+        for b in batches:
+            n = Counter(chain.from_iterable(map(split, b.column(0).to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
-    def run(batches):
+    def segment(batches):
         c = codec(model)
         for b in batches:
-            rows = []
-            for ids, decimal in c.encode(b.column(1).to_pylist()):
-                text = c.lib.decode(ids) if ids else ""
-                rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            ids = [np.array(x, "<i4").tobytes() for x in c.segment(b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+
+    counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(segment, "word string, n long, ids binary")
 
-    return _over(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
+def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT) -> DataFrame:
+    """(doc_id, ids array<int>, decoded) of every whole text: a null text is empty and has no ids. Rows stay as they
+    are, repeated ones and null ids too; texts of any length are one row; other columns are not read.
+
+    Rows are told apart by where they lie, so ``docs`` that is not read from files is written to the shared folder first.
+    """
+    from zstandard import ZstdCompressor, ZstdDecompressor
 
-def _over(docs: DataFrame, id_col: str, text_col: str, run, made: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {made}")
+    rows = located(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    words = table(word_table(rows, model), "words", shared_folder(spark, "pieces"))
+    often = words.where(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(most)
+    # At most ``most`` short words, whatever the corpus.
+    got = often.select("word", "ids").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, got.schema) as out:
+        out.write_table(got.combine_chunks())
+    common, tag = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+
+    def rare(batches):
+        """The words of each text that were not broadcast, numbered in order of appearance."""
+        known = frequent(common, tag).number
+        for b in batches:
+            out = ([], [], [], [])
+            for file, row, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                new = dict.fromkeys(w for w in split(text) if w not in known)
+                for column, made in zip(out, ([file] * len(new), [row] * len(new), range(len(new)), new), strict=True):
+                    column.extend(made)
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["file", "row", "k", "word"])
+
+    def code(batches):
+        """Each text as the numbers of its words, in planes of bytes that compress well; rare words follow the others."""
+        known = frequent(common, tag).number
+        zstd = ZstdCompressor(level=1)
+        for b in batches:
+            made = []
+            for text in b.column(2).to_pylist():
+                own: dict = {}
+                numbers = [known[w] if w in known else len(known) + own.setdefault(w, len(own)) for w in split(text)]
+                planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+                made.append(zstd.compress(planes.tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(made, pa.binary())], names=["file", "row", "doc_id", "code"])
+
+    def assemble(batches):
+        c, f = codec(model), frequent(common, tag)
+        zstd = ZstdDecompressor()
+        for b in batches:
+            ids, texts = [], []
+            for raw, some in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                number = np.ascontiguousarray(np.frombuffer(zstd.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+                own = [x["ids"] for x in sorted(some or (), key=lambda x: x["k"])]
+                at = np.r_[f.at, f.at[-1] + np.cumsum([len(x) // 4 for x in own], dtype=np.int64)] if own else f.at
+                start, size = at[number], at[number + 1] - at[number]
+                upto = np.cumsum(size)
+                place = np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+                made = np.where(place < len(f.ids), f.ids[np.minimum(place, len(f.ids) - 1)], 0) if len(f.ids) else np.zeros(len(place), np.int32)
+                if own:
+                    late = place >= f.at[-1]
+                    made[late] = np.frombuffer(b"".join(own), "<i4")[place[late] - f.at[-1]]
+                made = made.tolist()
+                ids.append(made)
+                texts.append(c.lib.decode(made) if made else "")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+
+    places = rows.select("file", "row", "text").mapInArrow(rare, "file long, row long, k int, word string")
+    found = places.join(words.select("word", "ids"), "word").groupBy("file", "row").agg(F.collect_list(F.struct("k", "ids")).alias("rare"))
+    coded = rows.select("file", "row", "text", "doc_id").mapInArrow(code, f"file long, row long, doc_id {kind}, code binary")
+    return coded.join(found, ["file", "row"], "left").select("doc_id", "code", "rare").mapInArrow(assemble, f"doc_id {kind}, ids array<int>, decoded string")
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """Adds n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 to what :func:`encode_decode` gives."""
+    return encoded.select(
+        "*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def model_path() -> str:
@@ -123,4 +186,4 @@ def model_path() -> str:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(read(spark, sf_dir, "documents"), model_path())
+    return digests(encode_decode(read(spark, sf_dir, "documents"), model_path())).drop("ids", "decoded")

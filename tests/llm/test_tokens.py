@@ -1,11 +1,13 @@
 import io
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from oplogue.llm import pieces, token_files
+from oplogue.llm.chunks import ChunkTable
 from oplogue.llm.common import shared_folder
 
 from .fixtures import awkward, table
@@ -21,27 +23,45 @@ def odd_rows():
     return [*awkward(6), *((1000 + i, t, "en", "odd", 1) for i, t in enumerate(ODD))]
 
 
-def test_pieces_equal_the_library(spark):
+@pytest.mark.parametrize("most", [0, 7, 100_000])
+def test_pieces_equal_the_library(spark, most):
     import hashlib
 
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     rows = odd_rows()
-    got = sorted((tuple(r) for r in pieces.digests(table(spark, rows), pieces.model_path()).collect()), key=str)
+    full = pieces.encode_decode(table(spark, rows), pieces.model_path(), most=most)
+    got = sorted((tuple(r) for r in pieces.digests(full).drop("ids", "decoded").collect()), key=str)
     want = []
     for r in rows:
         ids = lib.encode(r[1] or "")
         want.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((lib.decode(ids) if ids else "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    full = pieces.encode_decode(table(spark, rows), pieces.model_path()).collect()
-    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in full) == sorted((str(r[0]), lib.encode(r[1] or ""), lib.decode(lib.encode(r[1] or "")) or "") for r in rows)
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in full.collect()) == sorted((str(r[0]), lib.encode(r[1] or ""), lib.decode(lib.encode(r[1] or "")) or "") for r in rows)
+
+
+def test_each_distinct_word_is_segmented_once(spark):
+    rows = odd_rows() * 3
+    words = pieces.word_table(table(spark, rows).repartition(5), pieces.model_path()).collect()
+    assert len({r.word for r in words}) == len(words)
+    count = Counter(w for r in rows for w in pieces.split(r[1]))
+    assert {r.word: r.n for r in words} == count
+
+
+def test_pieces_of_a_very_long_text_and_a_long_word(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    texts = ["the quick  brown foxes " * 100_000, "y" * 20_000 + " end"]
+    got = pieces.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces.model_path(), most=2).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: lib.encode(t) for i, t in enumerate(texts)}
+    assert all(r.decoded == texts[r.doc_id] for r in got)
 
 
 def test_chunk_table_forgets_and_stays_right():
-    c = pieces.PieceCodec(pieces.model_path(), size=5)
-    for t in ODD * 2:
-        assert [ids for ids, _ in c.encode([t, None, t])] == [c.lib.encode(t), [], c.lib.encode(t)]
+    t = ChunkTable(str.upper, 3)
+    assert [t[c] for c in "abcabdefgaab"] == list("ABCABDEFGAAB") and len(t) <= 3
 
 
 def test_files_equal_the_library_and_round_trip(spark):
@@ -92,7 +112,7 @@ def test_one_document_is_read_alone_and_damage_is_seen():
 def test_empty_table(spark):
     e = table(spark, [])
     assert token_files.read_tokens(token_files.write_tokens(e, token_files.tokenizer_path(), shared_folder(spark, "e"))).collect() == []
-    assert pieces.digests(e, pieces.model_path()).collect() == []
+    assert pieces.encode_decode(e, pieces.model_path()).collect() == []
 
 
 def test_control_characters_of_ascii_texts_are_tokens():
