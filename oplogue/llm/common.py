@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for as long as the block runs."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: A job's shuffle files go as soon as it has ended.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def table(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
-    """Like :func:`cut`, as Parquet: smaller on disk for wide rows, and in a folder that can be removed early."""
+    """Like :func:`cut`, as Parquet: smaller on disk for wide rows, and in a folder that can be removed early. The
+    shuffle files behind it are not kept."""
     spark = df.sparkSession
     path = f"{under}/{name}-{uuid.uuid4().hex[:8]}" if under else shared_folder(spark, name)
-    df.write.parquet(path)
+    with settings(spark, TIDY):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
