@@ -11,4 +11,4 @@ QUERIES = {
         quality_rules.op6_quality_rules, language.op7_language, pieces.op8_pieces, simhash.op9_simhash, suffix_dedup.op10_suffix_dedup,
     )
 }
-ORACLES = {"op2_mixing": mixing.ORACLE, "op4_licenses": licenses.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op4_licenses": licenses.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_quality_rules": quality_rules.ORACLE}

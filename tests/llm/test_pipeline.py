@@ -1,7 +1,6 @@
 """run() on a small table against a version that holds everything in one process."""
 
 import hashlib
-import math
 import re
 from collections import Counter
 
@@ -16,6 +15,7 @@ from oplogue.llm import mixing, pieces, quality_rules, simhash
 
 from .fixtures import awkward, table
 from .test_mixing import targets
+from .test_quality_rules import posteriors
 
 pytest.importorskip("public_tokenizers")
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -34,7 +34,7 @@ def measured(text):
     return dict(
         n_words=len(words), word_chars=sum(map(len, words)), n_symbols=len(re.findall(r"[#*$%&|<>]", t)), n_lines=len(lines),
         n_dup_lines=len(lines) - len(set(lines)), n_repeat_words=len(again), n_upper=len(regex.findall(r"\p{Lu}", t)),
-        n_shouts=t.count("!!"), n_marked=len(re.findall(r"[#*$%&|<>](?=[\x20\x09-\x0D]|$)", t)),
+        n_marks=len(re.findall(r"[.,;:!?]", t)),
     )
 
 
@@ -42,9 +42,8 @@ def good(rows):
     m = pd.DataFrame([measured(r[1]) for r in rows])  # noqa: F841  read by DuckDB
     cases = ", ".join(f"case when {bad} then -1 when {fine} then 1 else 0 end" for bad, fine in quality_rules.RULES.values())
     got = duckdb.sql(f"select {quality_rules.FAILED} f, [{cases}] v from m").fetchall()
-    prior, add = quality_rules.fit(sorted(Counter(tuple(v) for f, v in got if not f).items()))
-    odds = [prior + sum(add.get((j, x), 0.0) for j, x in enumerate(v)) for _, v in got]
-    return [r for r, (f, _), o in zip(rows, got, odds, strict=True) if not f and 1 / (1 + math.exp(-o)) >= 0.5]
+    post = posteriors([tuple(v) for f, v in got if not f])
+    return [r for r, (f, v) in zip(rows, got, strict=True) if not f and post[tuple(v)] >= 0.5]
 
 
 def last_of_equal(rows):
