@@ -85,9 +85,15 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared root whose tables nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder of the shared root whose tables nothing reads any more; one that cannot be reached from here is
+    left to whoever clears the root."""
+    from pyarrow import fs
+
+    try:
+        system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        system.delete_dir(at)
+    except (OSError, ValueError, NotImplementedError):
+        pass
 
 
 def lower_ascii(text: Column) -> Column:

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read, shared_folder, table
+from .common import TIDY, located, lower_ascii, read, remove, settings, shared_folder, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Many small state stores must not each set disk aside for their logs.
 STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
-INTAKE = "digest string, id bigint, file string, row bigint"
-
-
-@contextmanager
-def _settings(spark: SparkSession, **conf):
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+INTAKE = "digest string, id bigint, file bigint, row bigint"
+STATE = "digest string, n bigint, keep struct<id:bigint,file:bigint,row:bigint>, content struct<file:bigint,row:bigint>, batch int"
+#: Digests that one micro-batch takes in, in bytes of their files.
+BATCH_BYTES = 8 << 30
 
 
 def track(intake: DataFrame, out: str, state: str) -> None:
@@ -49,59 +39,44 @@ def track(intake: DataFrame, out: str, state: str) -> None:
     query.awaitTermination()
 
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None, files_per_batch: int | None = None
-) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, keep_id, group_size, kept, digest).
-
-    Texts are equal when identical after lower-casing A-Z only; a null text counts as empty. Of equal texts the row
-    with the largest id stays (null ids lowest; of repeated rows with that id, the one with the largest content
-    locator, so exactly one row of a group is kept). ``digest`` maps the normalised text column to its key (SHA-256);
-    rows whose digests collide are told apart by their bytes. Other columns are not read, whatever their names.
-
-    ``docs`` read from files is used where it lies; any other table is first written to the shared folder, as the
-    stored content that locators (file, row) point to.
-    """
-    spark = docs.sparkSession
-    digest = digest or (lambda t: F.sha2(t, 256))
-    part = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _found(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, or an empty one before the first row is written."""
     try:
-        source = docs.select(
-            F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
-        )
-        source.schema  # noqa: B018  resolves now
-    except Exception as e:  # no file lies behind it
-        if "_metadata" not in str(e):
-            raise
-        source = table(part, "content").select(
-            "id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
-        )
-    norm = lower_ascii(F.col("text"))
-    keyed = source.select("id", "file", "row", norm.alias("norm"), digest(norm).alias("digest"))
-    intake = shared_folder(spark, "intake")
-    keyed.select("digest", "id", "file", "row").write.parquet(intake)
-    out, state = shared_folder(spark, "digests"), shared_folder(spark, "state")
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def _classes(rows: DataFrame, digest, files_per_batch: int | None, folder: str | None) -> DataFrame:
+    """``rows`` (id, text, file, row) -> (doc_id, keep_id, group_size, kept, digest, file, row)."""
+    spark = rows.sparkSession
+    norm = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
+    keyed = rows.select(F.col("id").cast("long").alias("id"), "file", "row", norm.alias("norm"), digest(norm).alias("digest"))
+    home = folder or shared_folder(spark, "exact")
+    intake, out, state = f"{home}/intake", f"{home}/digests", f"{home}/state"
+    fresh = keyed.select("digest", "id", "file", "row")
+    if folder:
+        fresh = fresh.join(_found(spark, intake, INTAKE).select("file", "row"), ["file", "row"], "left_anti")
+    with settings(spark, TIDY):
+        fresh.write.mode("append").parquet(intake)
     stream = spark.readStream.schema(INTAKE)
-    stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream.option("maxBytesPerTrigger", str(64 << 30))
-    with _settings(spark, **STORE):
+    stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream.option("maxBytesPerTrigger", str(BATCH_BYTES))
+    with settings(spark, STORE):
         track(stream.parquet(intake), out, state)
-    rows = spark.read.schema(INTAKE).parquet(intake)
-    latest = (
-        spark.read.schema(
-            "digest string, n bigint, keep struct<id:bigint,file:string,row:bigint>, content struct<file:string,row:bigint>, batch int"
-        ).parquet(out)
-        .groupBy("digest").agg(F.max_by(F.struct("n", "keep", "content"), "batch").alias("s")).select("digest", "s.*")
-    ) if _written(spark, out) else spark.createDataFrame([], "digest string, n bigint, keep struct<id:bigint,file:string,row:bigint>, content struct<file:string,row:bigint>")
-
-    # Hits: group the full bytes under every digest seen twice. The text that holds the digest's content locator is the
-    # stored one; any other text under that digest is a collision and forms a group of its own.
+    if not folder:
+        remove(spark, state)
+    taken = spark.read.schema(INTAKE).parquet(intake)
+    latest = _found(spark, out, STATE).groupBy("digest").agg(F.max_by(F.struct("n", "keep", "content"), "batch").alias("s")).select("digest", "s.*")
+
+    # Hits: compare the full bytes under every digest seen twice. Rows are fetched by where they lie, which spreads the
+    # copies of one text; copies meet again only after each task has merged its own. The text that holds the digest's
+    # content locator is the stored one; any other text under that digest is a collision and forms a group of its own.
     hits = latest.where("n > 1").select("digest", F.col("content").alias("stored"))
+    places = taken.join(hits, "digest").select("file", "row", "stored")
     texts = (
-        keyed.join(hits.select("digest"), "digest", "left_semi").groupBy("digest", "norm")
-        .agg(F.count("*").alias("same"), F.max(F.struct("id", "file", "row")).alias("keep"), F.min(F.struct("file", "row")).alias("content"))
-    )
-    texts = texts.join(hits, "digest").withColumn("whole", F.col("content") == F.col("stored"))
+        keyed.join(places, ["file", "row"]).groupBy("digest", "norm")
+        .agg(F.count("*").alias("same"), F.max(F.struct("id", "file", "row")).alias("keep"), F.min(F.struct("file", "row")).alias("content"), F.first("stored").alias("stored"))
+    ).withColumn("whole", F.col("content") == F.col("stored"))
     checked = table(texts.select("digest", "same", "keep", "whole"), "checked")
     odd = checked.where("not whole").select("digest").distinct()
     sure = latest.where("n = 1").select("digest", F.col("n").alias("size"), "keep").union(
@@ -112,28 +87,41 @@ def exact_dedup(
         (F.col("keep.id").eqNullSafe(F.col("r.id")) & (F.col("keep.file") == F.col("r.file")) & (F.col("keep.row") == F.col("r.row"))).alias("kept"),
         F.col("r.digest").alias("digest"), F.col("r.file").alias("file"), F.col("r.row").alias("row"),
     ]
-    result = rows.alias("r").join(sure, "digest").select(*columns)
+    result = taken.alias("r").join(sure, "digest").select(*columns)
     if odd.isEmpty():  # texts need to be moved again only if digests collide
         return result
     apart = texts.join(odd, "digest", "left_semi").select("digest", "norm", F.col("same").alias("size"), "keep")
     return result.union(keyed.alias("r").join(apart, ["digest", "norm"]).select(*columns))
 
 
-def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of file-backed ``docs`` that :func:`exact_dedup` keeps, as they are."""
-    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select("file", "row")
-    placed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return placed.join(dropped, ["file", "row"], "left_anti").select("doc.*")
+def sha256(text):
+    return F.sha2(text, 256)
+
 
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int | None = None, folder: str | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, keep_id, group_size, kept, digest).
 
-def _written(spark: SparkSession, path: str) -> bool:
-    from py4j.protocol import Py4JError
+    Texts, of any length, are equal when identical after lower-casing A-Z only; a null text counts as empty. Of equal
+    texts the row with the largest id stays (null ids lowest; of repeated rows with that id, the one with the largest
+    content locator, so exactly one row of a group is kept). ``digest`` maps the normalised text column to its key
+    (SHA-256); rows whose digests collide are told apart by their bytes. Other columns are not read, whatever their
+    names.
 
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    except Py4JError:
-        return False
+    ``docs`` read from files is used where it lies; any other table is first written to the shared folder, as the
+    stored content that locators (file, row) point to. With ``folder``, in the shared file system, state lasts: a later
+    call over the same files and new ones takes in the new rows only, and they meet what the state holds of the old.
+    """
+    rows = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return _classes(rows, digest, files_per_batch, folder)
+
+
+def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, as they are."""
+    rows = located(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc")))
+    found = _classes(rows.select(F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text"), "file", "row"), sha256, None, None)
+    return rows.join(found.where("not kept").select("file", "row"), ["file", "row"], "left_anti").select("doc.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
