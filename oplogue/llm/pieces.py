@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import kept, latest
-from .common import located, read, shared_folder, table
+from .common import located, read, shared_folder, shuffle_partitions, table
 
 MARK = "▁"
 #: Words of the broadcast part of the table, and bytes of each: 100 MB at the very most, some 20 MB in practice.
@@ -113,7 +113,11 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     words = table(word_table(rows, model), "words", shared_folder(spark, "pieces"))
     often = words.where(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(most)
     # At most ``most`` short words, whatever the corpus.
-    got = often.select("word", "ids").toArrow()
+    got = often.toArrow()
+    if len(got) == most and most:  # words that all tasks know need not take part in the join
+        n, word = (got.column(c)[-1].as_py() for c in ("n", "word"))
+        words = words.where((F.octet_length("word") > SHORT) | (F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+    got = got.select(["word", "ids"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, got.schema) as out:
         out.write_table(got.combine_chunks())
@@ -145,30 +149,50 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(made, pa.binary())], names=["file", "row", "doc_id", "code"])
 
     def assemble(batches):
+        """Rows of one text follow each other: its numbers first, then the ids of its rare words in order."""
         c, f = codec(model), frequent(common, tag)
         zstd = ZstdDecompressor()
+
+        def ids_of(raw: bytes, own: list[bytes]) -> list[int]:
+            number = np.ascontiguousarray(np.frombuffer(zstd.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+            at = np.r_[f.at, f.at[-1] + np.cumsum([len(x) // 4 for x in own], dtype=np.int64)] if own else f.at
+            start, size = at[number], at[number + 1] - at[number]
+            upto = np.cumsum(size)
+            place = np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+            late = place >= f.at[-1]
+            made = np.empty(len(place), np.int32)
+            made[~late] = f.ids[place[~late]]
+            made[late] = np.frombuffer(b"".join(own), "<i4")[place[late] - f.at[-1]]
+            return made.tolist()
+
+        def batch(texts):
+            ids = [ids_of(raw, own) for _, raw, own in texts]
+            decoded = [c.lib.decode(x) if x else "" for x in ids]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in texts], id_type), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]
+            )
+
+        texts: list = []
+        id_type = None
         for b in batches:
-            ids, texts = [], []
-            for raw, some in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                number = np.ascontiguousarray(np.frombuffer(zstd.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-                own = [x["ids"] for x in sorted(some or (), key=lambda x: x["k"])]
-                at = np.r_[f.at, f.at[-1] + np.cumsum([len(x) // 4 for x in own], dtype=np.int64)] if own else f.at
-                start, size = at[number], at[number + 1] - at[number]
-                upto = np.cumsum(size)
-                place = np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
-                made = np.where(place < len(f.ids), f.ids[np.minimum(place, len(f.ids) - 1)], 0) if len(f.ids) else np.zeros(len(place), np.int32)
-                if own:
-                    late = place >= f.at[-1]
-                    made[late] = np.frombuffer(b"".join(own), "<i4")[place[late] - f.at[-1]]
-                made = made.tolist()
-                ids.append(made)
-                texts.append(c.lib.decode(made) if made else "")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            id_type = b.schema.field("doc_id").type
+            for k, doc_id, raw in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if k >= 0:
+                    texts[-1][2].append(raw)
+                else:
+                    if len(texts) >= 1000:
+                        yield batch(texts)
+                        texts = []
+                    texts.append((doc_id, raw, []))
+        if texts:
+            yield batch(texts)
 
     places = rows.select("file", "row", "text").mapInArrow(rare, "file long, row long, k int, word string")
-    found = places.join(words.select("word", "ids"), "word").groupBy("file", "row").agg(F.collect_list(F.struct("k", "ids")).alias("rare"))
-    coded = rows.select("file", "row", "text", "doc_id").mapInArrow(code, f"file long, row long, doc_id {kind}, code binary")
-    return coded.join(found, ["file", "row"], "left").select("doc_id", "code", "rare").mapInArrow(assemble, f"doc_id {kind}, ids array<int>, decoded string")
+    found = places.join(words.select("word", "ids"), "word").select("file", "row", "k", F.lit(None).cast(kind).alias("doc_id"), F.col("ids").alias("raw"))
+    coded = rows.select("file", "row", "text", "doc_id").mapInArrow(code, f"file long, row long, doc_id {kind}, raw binary")
+    both = coded.select("file", "row", F.lit(-1).alias("k"), "doc_id", "raw").union(found)
+    whole = both.repartition(shuffle_partitions(spark), "file", "row").sortWithinPartitions("file", "row", "k")
+    return whole.mapInArrow(assemble, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
