@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, shuffle_partitions, small_batches
+from .common import cut, located, read, shuffle_partitions, table
 from .components import components
 
 BITS, DISTANCE = 64, 3
@@ -43,7 +43,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["doc_id", "th", "fp"])
 
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th")).mapInArrow(
         run, f"doc_id {kind}, th long, fp long"
@@ -119,6 +118,12 @@ def _compare(distance: int):
     return run
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows whose ``key`` occurs twice or more, with ``n``, how often."""
+    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return cut(rows.join(often, "key"))
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """Distinct fingerprints (fp long) -> forest edges (a, b) that connect all those at ``distance`` <= 3 bits.
 
@@ -128,15 +133,10 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
     """
     if distance > DISTANCE:
         raise ValueError("two halves find up to three differing bits")
-    small_batches(fps.sparkSession, 20_000)
     n = shuffle_partitions(fps.sparkSession)
-
-    def counted(rows: DataFrame) -> DataFrame:
-        often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        return cut(rows.join(often, "key"))
-
-    rows = fps.select("fp", F.explode(F.expr(FIRST)).alias("key"))
-    rows = counted(rows.withColumn("rest", F.expr(f"if(shiftrightunsigned(key, 37) = 0, {HIGH}, {LOW})")))
+    # A row becomes 64: they are made in as many tasks as will take them.
+    rows = fps.select("fp").repartition(n, "fp").select("fp", F.explode(F.expr(FIRST)).alias("key"))
+    rows = _counted(rows.withColumn("rest", F.expr(f"if(shiftrightunsigned(key, 37) = 0, {HIGH}, {LOW})")))
     out = None
     for width in (32, 16, 0):
         ready = rows if not width else rows.where(F.col("n") <= bucket)
@@ -147,11 +147,10 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
             break
         fine = hot.select("fp", "key", "rest", F.explode(F.expr(_finer("rest", width))).alias("sub"))
         half = width // 2
-        rows = counted(fine.select(
+        rows = _counted(fine.select(
             "fp", F.xxhash64("key", "sub").alias("key"),
             F.expr(f"if(shiftrightunsigned(sub, 37) = 0, shiftrightunsigned(rest, {half}) & {2**half - 1}L, rest & {2**half - 1}L)").alias("rest"),
         ))
-    small_batches(fps.sparkSession)
     return out
 
 
@@ -171,12 +170,129 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(found, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
+#: Near copies by Jaccard similarity: shingles of five words, 128 bits in six segments, and the bits in which candidates
+#: may differ. At similarity 0.8 two fingerprints differ in 19 bits on average, with a deviation of 4.
+WORDS, SIMILAR, RADIUS = 5, 0.8, 32
+#: The six segments of two longs, 21 or 22 bits each. Two fingerprints at up to 11 bits leave one segment with at most
+#: one differing bit; those farther apart meet where chance leaves one so, and every candidate's texts are compared.
+_SEGMENTS = [(f"({x} & 2097151L)", 21) for x in ("lo", "hi")] + [(f"(shiftrightunsigned({x}, 21) & 2097151L)", 21) for x in ("lo", "hi")] + [(f"shiftrightunsigned({x}, 42)", 22) for x in ("lo", "hi")]
+WIDE = f"concat({', '.join(_variants(x, width, 32 * i) for i, (x, width) in enumerate(_SEGMENTS))})"
+
+
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    """XXH3-128 of all word shingles, A-Z in lower case, a row of two unsigned longs each; of no words, none."""
+    from xxhash import xxh3_128_digest
+
+    words = (text or "").encode().translate(A_TO_Z).split()
+    runs = [words] if len(words) < size else zip(*(words[i:] for i in range(size)), strict=False)
+    return np.frombuffer(b"".join(xxh3_128_digest(b" ".join(r)) for r in runs) if words else b"", "<u8").reshape(-1, 2)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Majority bits of the two longs; zero without shingles."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[at : at + 4096]).view(np.uint8), bitorder="little").reshape(-1, 128).sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist())
+
+
+def _near(batches):
+    """Rows (key, hi, lo) sorted by key -> candidate edges (ahi, alo, bhi, blo), at most two for each row of a bucket."""
+    left = np.empty((0, 3), np.int64)
+
+    def edges(rows: np.ndarray):
+        out = []
+        cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(rows)], strict=True):
+            todo = rows[s:e, 1:].view(np.uint64)
+            while len(todo) > 1:
+                apart = np.bitwise_count(todo[1:] ^ todo[0]).sum(axis=1, dtype=np.int64)
+                close = np.flatnonzero(apart <= RADIUS)
+                if len(close):
+                    found = todo[1:][close[np.argsort(apart[close], kind="stable")]]
+                    out += [np.hstack([np.broadcast_to(todo[0], found.shape), found]), np.hstack([found[:-1], found[1:]])]
+                todo = todo[1:][apart > RADIUS]
+        got = np.concatenate(out).view(np.int64) if out else np.empty((0, 4), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, k]) for k in range(4)], names=["ahi", "alo", "bhi", "blo"])
+
+    for b in batches:
+        rows = np.concatenate([left, np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)])
+        if not len(rows):
+            continue
+        other = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+        last = other[-1] + 1 if len(other) else 0
+        left = rows[last:]
+        if last:
+            yield edges(rows[:last])
+    if len(left):
+        yield edges(left)
+
+
+def candidates(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Distinct fingerprints (hi, lo) -> distinct pairs (ahi, alo, bhi, blo) to compare, linear in what the buckets hold.
+
+    Buckets of more than ``bucket`` fingerprints are cut by the variants of the other segments.
+    """
+    n = shuffle_partitions(fps.sparkSession)
+    spread = fps.select("hi", "lo").repartition(n, "hi", "lo")
+    rows = _counted(spread.select("hi", "lo", F.explode(F.expr(WIDE)).alias("key")))
+    hot = rows.where(F.col("n") > bucket)
+    parts = [rows.where(F.col("n") <= bucket).select("key", "hi", "lo")]
+    if not hot.isEmpty():
+        fine = hot.select("hi", "lo", "key", F.explode(F.expr(WIDE)).alias("sub")).where("shiftright(sub, 37) <> shiftright(key, 37)")
+        parts.append(_counted(fine.select("hi", "lo", F.xxhash64("key", "sub").alias("key"))).select("key", "hi", "lo"))
+    out = None
+    for part in parts:
+        dealt = part.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("key", "hi", "lo"))
+        made = dealt.mapInArrow(_near, "ahi long, alo long, bhi long, blo long")
+        out = made if out is None else out.union(made)
+    a, b = F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo")), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo"))
+    return out.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select("a", "b")
+
+
+def near_copies(rows: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+    """``rows`` (id, text, file, row) -> (id, file, row, root): rows with one root are joined by pairs of texts whose
+    sets of five-word shingles have a Jaccard similarity of ``similar`` or more.
+
+    SimHash brings candidates, the sets decide, so no link is false. Texts under five words have one shingle, all their
+    words; texts without words are copies of each other. Repeated rows and null ids are rows like others.
+    """
+    def marked(batches):
+        for b in batches:
+            made = np.array([wide_fingerprint(shingles(t)) for t in b.column(3).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made[:, 0]), pa.array(made[:, 1])], names=["id", "file", "row", "hi", "lo"])
+
+    def sets(batches):
+        for b in batches:
+            made = [np.unique(shingles(t)[:, 0]).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], names=["hi", "lo", "own"])
+
+    kind = dict(rows.dtypes)["id"]
+    own = cut(rows.select("id", "file", "row", "text").mapInArrow(marked, f"id {kind}, file long, row long, hi long, lo long"))
+    one = own.groupBy("hi", "lo").agg(F.min(F.struct("file", "row")).alias("one")).select("hi", "lo", "one.file", "one.row")
+    pairs = cut(candidates(one, bucket))
+    wanted = one.join(pairs.select("a.*").union(pairs.select("b.*")).distinct(), ["hi", "lo"])
+    held = table(rows.join(wanted, ["file", "row"]).select("hi", "lo", "text").mapInArrow(sets, "hi long, lo long, own array<long>"), "shingles")
+    left = held.select(F.struct("hi", "lo").alias("a"), F.col("own").alias("of_a"))
+    right = held.select(F.struct("hi", "lo").alias("b"), F.col("own").alias("of_b"))
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    alike = shared >= similar * (F.size("of_a") + F.size("of_b") - shared)
+    name = lambda x: F.concat(*(F.lpad(F.hex(c), 16, "0") for c in x))
+    edges = pairs.join(left, "a").join(right, "b").where(alike).select(name(("a.hi", "a.lo")).alias("a"), name(("b.hi", "b.lo")).alias("b"))
+    joined = components(cut(edges))
+    named = own.withColumn("fp", name(("hi", "lo")))
+    return named.join(joined, named.fp == joined.node, "left").select("id", "file", "row", F.coalesce("component", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each component: the least id, then the least text hash (nulls last)."""
-    found = near_duplicates(docs, id_col, text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("th").alias("h")))
-    chosen = found.groupBy("root").agg(first.alias("s")).select("s.id", "s.h")
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen.id) & F.xxhash64(docs[text_col]).eqNullSafe(chosen.h), "left_semi")
+    """The rows of ``docs``, as they are, one of each group of :func:`near_copies`: that of the least id (null last)."""
+    rows = located(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc")))
+    found = near_copies(rows.select(F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text"), "file", "row"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "file", "row"))
+    chosen = found.groupBy("root").agg(first.alias("s"), F.count("*").alias("n")).where("n > 1").select("root", "s.file", "s.row")
+    c = chosen.select("root", F.col("file").alias("cf"), F.col("row").alias("cr"))
+    dropped = found.join(c, "root").where("file <> cf or row <> cr").select("file", "row")
+    return rows.join(dropped, ["file", "row"], "left_anti").select("doc.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,12 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oplogue.llm import mixing, pieces, quality_rules, simhash
+from oplogue.llm import mixing, pieces, quality_rules
 
 from .fixtures import awkward, table
 from .test_mixing import targets
 from .test_quality_rules import posteriors
+from .test_simhash import roots
 
 pytest.importorskip("public_tokenizers")
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,12 +58,7 @@ def last_of_equal(rows):
 
 
 def one_of_near(rows):
-    fps, group = [simhash.fingerprint(r[1]) for r in rows], list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
+    group = roots([r[1] for r in rows])
     return [min((r for r, g in zip(rows, group, strict=True) if g == k), key=lambda r: (r[0] is None, r[0] or 0)) for k in set(group)]
 
 
@@ -113,6 +109,15 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert len({r[0] for r in want}) > 20 and sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_stages_keep_columns_whose_names_clash(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, file string, row long, doc string, shard long, words string, key long, root long, _metadata string"
+    docs = table(spark, [r[:5] for r in awkward(4, 40)], names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
 def test_empty_table(spark, tmp_path):
     table(spark, [], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

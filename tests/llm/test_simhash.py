@@ -3,6 +3,7 @@ import random
 import xxhash
 
 from oplogue.llm import simhash
+from oplogue.llm.common import located
 from oplogue.llm.components import components
 
 from .fixtures import awkward, table
@@ -96,3 +97,67 @@ def test_empty_and_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(None, 3), (7, 7)], "a long, b long")
     assert {r.component for r in components(chain).collect()} == {0}
     assert simhash.near_duplicates(table(spark, [])).collect() == []
+
+
+def five_words(text):
+    w = (text or "").encode().translate(simhash.A_TO_Z).split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def roots(texts, similar=0.8):
+    """Least place reachable over pairs of at least that Jaccard similarity; texts without words are alike."""
+    own, root = [five_words(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(own)):
+        for j in range(i):
+            n = len(own[i] & own[j])
+            if n >= similar * (len(own[i]) + len(own[j]) - n) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(own))]
+
+
+def near(spark, texts, **kw):
+    rows = located(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    got = {r.id: r.root for r in simhash.near_copies(rows, **kw).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_near_copies_of_awkward_rows(spark):
+    texts = [r[1] for r in awkward(3)] + ["Some words of a very long text " * 150_000] * 2
+    assert same_partition(near(spark, texts), roots(texts))
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        out[at] = f"new{rng.random()}"
+    return " ".join(out)
+
+
+def test_near_copies_that_are_planted(spark):
+    rng = random.Random(6)
+    texts, pairs = [], []
+    for k in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        for edits in (1, 2, 4):
+            pairs.append((edits, len(texts), len(texts) + 1))
+            texts += [" ".join(words), edited(rng, words, edits)]
+            words = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    got, want = near(spark, texts), roots(texts)
+    by_root = {}
+    for g, w in zip(got, want, strict=True):
+        assert by_root.setdefault(g, w) == w  # nothing is joined that is not alike
+    found = lambda e: [got[a] == got[b] for k, a, b in pairs if k == e and want[a] == want[b]]
+    assert [sum(found(e)) >= share * len(found(e)) for e, share in ((1, 0.95), (2, 0.85), (4, 0.6))] == [True] * 3
+
+
+def test_a_large_group_of_near_copies_is_cut_finer(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = [edited(rng, words, 1) for _ in range(200)] + [f"quite other text {i} of its own words {i * 7}" for i in range(50)]
+    assert same_partition(near(spark, texts, bucket=20), roots(texts))
