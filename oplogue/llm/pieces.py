@@ -1,9 +1,10 @@
-"""SentencePiece encoding and decoding through a table of distinct marked words.
+"""SentencePiece encoding and decoding by distinct marked words.
 
 No piece of such a model has a marker after another character, so no merge crosses into the next marked word. Each
-distinct word of the corpus is segmented once, into a table that Spark builds and joins back by position: its most frequent
-words are broadcast, at most ``FREQUENT`` of at most ``SHORT`` bytes, and a text becomes the numbers of its words; the
-words beyond that are joined to their places in each text by a shuffle.
+distinct word of the corpus is segmented once, and its ids are joined back by position: the most frequent words, at most
+``FREQUENT`` of at most ``SHORT`` bytes, form a table that is broadcast, and a text becomes the numbers of its words in it;
+the other words go with their places to the task that their word falls to, which segments each once and sends its ids to
+those places.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import kept, latest
-from .common import located, read, shared_folder, shuffle_partitions, table
+from .common import TIDY, located, read, settings, shuffle_partitions
 
 MARK = "▁"
-#: Words of the broadcast part of the table, and bytes of each: 100 MB at the very most, some 20 MB in practice.
-FREQUENT, SHORT = 1 << 20, 48
+#: Words of the broadcast table, and bytes of each: 150 MB at the very most, some 20 MB in practice.
+FREQUENT, SHORT = 1 << 20, 128
+#: Tasks that a longer word may fall to, each of which segments it, so that copies of a hot one spread.
+SPREAD = 64
 _marked = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -43,6 +46,8 @@ class PieceCodec:
         for probe in ("a  b", " a", "a ", "ﬁ ①"):
             if self.lib.decode(self.lib.encode(probe)) != probe:
                 raise ValueError("this model normalises its text")
+        if self.lib.get_piece_size() > 1 << 16:
+            raise ValueError("ids of this model take more than two bytes")
         self.mark = self.lib.piece_to_id(MARK)
 
     def segment(self, words: list[str]) -> list[list[int]]:
@@ -61,14 +66,13 @@ def split(text: str | None) -> list[str]:
 
 
 class Frequent:
-    """The broadcast part of the table: numbers of words, and their ids end to end."""
+    """The broadcast table: numbers of words, and their ids end to end."""
 
     def __init__(self, raw: bytes):
-        got = pa.ipc.open_stream(raw).read_all()
+        got = pa.ipc.open_stream(raw).read_all().combine_chunks()
         self.number = {w: i for i, w in enumerate(got.column("word").to_pylist())}
-        ids = got.column("ids").combine_chunks()
-        self.ids = np.frombuffer(ids.buffers()[2], "<i4") if len(got) else np.empty(0, np.int32)
-        self.at = np.frombuffer(ids.buffers()[1], np.int32, len(got) + 1, 4 * ids.offset).astype(np.int64) // 4 if len(got) else np.zeros(1, np.int64)
+        self.ids = np.frombuffer(b"".join(got.column("ids").to_pylist()), "<u2").astype(np.int32)
+        self.at = np.r_[0, np.cumsum(got.column("size").to_numpy())].astype(np.int64)
 
 
 def frequent(broadcast, tag: str) -> Frequent:
@@ -80,23 +84,36 @@ def codec(model: str) -> PieceCodec:
     return kept(("pieces", model), lambda: PieceCodec(model))
 
 
-def word_table(texts: DataFrame, model: str) -> DataFrame:
-    """``texts`` (text) -> (word, n, ids): every distinct marked word, how often it stands, its ids as little-endian
-    integers. A batch counts its own words, Spark adds the counts up, and each word is segmented by one task."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``texts`` (text) -> (word, n): every distinct marked word, and how often it stands. A batch counts its own."""
 
     def count(batches):
         for b in batches:
             n = Counter(chain.from_iterable(map(split, b.column(0).to_pylist())))
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
-    def segment(batches):
-        c = codec(model)
+    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def segmented(words: DataFrame, model: str) -> DataFrame:
+    """``words`` (word, ...) -> the other columns and ``ids``, little-endian. A batch segments its distinct words; equal
+    words that follow each other over batches are segmented once."""
+    kept_columns = [c for c in words.columns if c != "word"]
+    kinds = dict(words.dtypes)
+
+    def run(batches):
+        c, last = codec(model), {}
         for b in batches:
-            ids = [np.array(x, "<i4").tobytes() for x in c.segment(b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            said = b.column(0).to_pylist()
+            new = dict.fromkeys(said)
+            learn = [w for w in new if w not in last]
+            new |= {w: np.array(x, "<u2").tobytes() for w, x in zip(learn, c.segment(learn), strict=True)}
+            new |= {w: x for w, x in last.items() if w in new}
+            last = {said[-1]: new[said[-1]]} if said else last
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([new[w] for w in said], pa.binary())], names=[*kept_columns, "ids"])
 
-    counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(segment, "word string, n long, ids binary")
+    made = ", ".join(f"{x} {kinds[x]}" for x in kept_columns)
+    return words.select("word", *kept_columns).mapInArrow(run, f"{made}, ids binary")
 
 
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT) -> DataFrame:
@@ -110,16 +127,12 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     rows = located(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    words = table(word_table(rows, model), "words", shared_folder(spark, "pieces"))
-    often = words.where(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(most)
-    # At most ``most`` short words, whatever the corpus.
-    got = often.toArrow()
-    if len(got) == most and most:  # words that all tasks know need not take part in the join
-        n, word = (got.column(c)[-1].as_py() for c in ("n", "word"))
-        words = words.where((F.octet_length("word") > SHORT) | (F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
-    got = got.select(["word", "ids"])
+    often = word_counts(rows).where(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(most)
+    with settings(spark, TIDY):  # at most ``most`` short words, whatever the corpus
+        got = segmented(often.select("word", F.col("word").alias("own")), model).select(F.col("own").alias("word"), "ids").toArrow()
+    got = got.append_column("size", pa.array([len(x) // 2 for x in got.column("ids").to_pylist()], pa.int64()))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, got.schema) as out:
+    with pa.ipc.new_stream(sink, got.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(got.combine_chunks())
     common, tag = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
 
@@ -155,14 +168,14 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
         def ids_of(raw: bytes, own: list[bytes]) -> list[int]:
             number = np.ascontiguousarray(np.frombuffer(zstd.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-            at = np.r_[f.at, f.at[-1] + np.cumsum([len(x) // 4 for x in own], dtype=np.int64)] if own else f.at
+            at = np.r_[f.at, f.at[-1] + np.cumsum([len(x) // 2 for x in own], dtype=np.int64)] if own else f.at
             start, size = at[number], at[number + 1] - at[number]
             upto = np.cumsum(size)
             place = np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
             late = place >= f.at[-1]
             made = np.empty(len(place), np.int32)
             made[~late] = f.ids[place[~late]]
-            made[late] = np.frombuffer(b"".join(own), "<i4")[place[late] - f.at[-1]]
+            made[late] = np.frombuffer(b"".join(own), "<u2")[place[late] - f.at[-1]]
             return made.tolist()
 
         def batch(texts):
@@ -187,11 +200,14 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         if texts:
             yield batch(texts)
 
+    n = shuffle_partitions(spark)
     places = rows.select("file", "row", "text").mapInArrow(rare, "file long, row long, k int, word string")
-    found = places.join(words.select("word", "ids"), "word").select("file", "row", "k", F.lit(None).cast(kind).alias("doc_id"), F.col("ids").alias("raw"))
+    deal = F.when(F.octet_length("word") > SHORT, F.pmod("row", F.lit(SPREAD))).otherwise(0)
+    found = segmented(places.repartition(n, "word", deal).sortWithinPartitions("word"), model)
+    found = found.select("file", "row", "k", F.lit(None).cast(kind).alias("doc_id"), F.col("ids").alias("raw"))
     coded = rows.select("file", "row", "text", "doc_id").mapInArrow(code, f"file long, row long, doc_id {kind}, raw binary")
     both = coded.select("file", "row", F.lit(-1).alias("k"), "doc_id", "raw").union(found)
-    whole = both.repartition(shuffle_partitions(spark), "file", "row").sortWithinPartitions("file", "row", "k")
+    whole = both.repartition(n, "file", "row").sortWithinPartitions("file", "row", "k")
     return whole.mapInArrow(assemble, f"doc_id {kind}, ids array<int>, decoded string")
 
 

@@ -41,13 +41,35 @@ def test_pieces_equal_the_library(spark, most):
     assert sorted((str(r.doc_id), r.ids, r.decoded) for r in full.collect()) == sorted((str(r[0]), lib.encode(r[1] or ""), lib.decode(lib.encode(r[1] or "")) or "") for r in rows)
 
 
-def test_each_distinct_word_is_segmented_once(spark):
+def test_each_distinct_word_is_segmented_once(spark, monkeypatch):
     rows = odd_rows() * 3
-    words = pieces.word_table(table(spark, rows).repartition(5), pieces.model_path()).collect()
+    words = pieces.word_counts(table(spark, rows).repartition(5)).collect()
     assert len({r.word for r in words}) == len(words)
     count = Counter(w for r in rows for w in pieces.split(r[1]))
     assert {r.word: r.n for r in words} == count
 
+    class Once:
+        def __init__(self):
+            self.said = []
+
+        def segment(self, some):
+            self.said += some
+            return [[len(w)] for w in some]
+
+    once = Once()
+    monkeypatch.setattr(pieces, "codec", lambda model: once)
+    captured = {}
+
+    class Frame:
+        columns, dtypes = ["word", "k"], [("word", "string"), ("k", "int")]
+        select = lambda self, *c: self
+        mapInArrow = lambda self, run, made: captured.update(run=run, made=made)
+
+    pieces.segmented(Frame(), "m")
+    batches = [pa.RecordBatch.from_pydict({"word": w, "k": pa.array([0] * len(w), pa.int32())}) for w in (["a", "a", "b"], ["b", "b"], ["b", "cc"], [])]
+    made = [x for b in captured["run"](iter(batches)) for x in b.column(1).to_pylist()]
+    assert once.said == ["a", "b", "cc"] and made == [np.array([n], "<u2").tobytes() for n in (1, 1, 1, 1, 1, 1, 2)]
+
 
 def test_pieces_of_a_very_long_text_and_a_long_word(spark):
     import sentencepiece
