@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import STATE_NAMES
@@ -84,3 +84,35 @@ def retry_ack(code: Column) -> Column:
 
 def segment_name(lsn: Column) -> Column:
     return F.format_string("wal-%020d.log", lsn)
+
+
+def segment_lsn(name: Column) -> Column:
+    """First LSN of a segment file's name; null for other names."""
+    return F.regexp_extract(name, r"^wal-([0-9]{20})\.log$", 1).try_cast("bigint")
+
+
+def endpoint(address: Column, port: Column) -> Column:
+    """Address as an unsigned number in network order, and port -> ``a.b.c.d:port``."""
+    byte = lambda shift: F.shiftright(address, shift).bitwiseAND(F.lit(255))
+    return F.format_string("%d.%d.%d.%d:%d", byte(24), byte(16), byte(8), byte(0), port)
+
+
+def endpoint_parts(text: Column) -> Column:
+    """``a.b.c.d:port`` -> struct(address, port); null without a port."""
+    host, parts = F.substring_index(text, ":", 1), F.split(F.substring_index(text, ":", 1), r"\.")
+    address = F.aggregate(F.transform(parts, lambda x: x.try_cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 8).bitwiseOR(x))
+    made = F.struct(address.alias("address"), F.substring_index(text, ":", -1).try_cast("int").alias("port"))
+    return F.when((F.instr(text, ":") > 0) & (F.size(parts) == 4) & (host != ""), made)
+
+
+def next_port(text: Column, by: int) -> Column:
+    """The endpoint ``by`` ports on: membership talks one port above the data."""
+    return F.concat(F.substring_index(text, ":", 1), F.lit(":"), (F.substring_index(text, ":", -1).cast("int") + by).cast("string"))
+
+
+def nonces(rows: DataFrame, boot: int, order: str) -> DataFrame:
+    """Adds ``nonce``: the low half of the boot id above a running number."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("node").orderBy(order)) - 1
+    return rows.withColumn("nonce", F.shiftleft(F.lit(boot & 0xFFFFFFFF).cast("bigint"), 32).bitwiseOR(n.cast("bigint")))

@@ -5,20 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import nack_backoff_ms
 from ..schemas import DEAD, LEASED, READY
 
 
-def next_lease(queue: DataFrame, now: Column) -> DataFrame:
-    """Per node, the first entry in queue order that is ready and past its back-off."""
-    fit = queue.where((F.col("state") == READY) & (now >= F.col("not_before")))
-    w = Window.partitionBy("node").orderBy("enq_seq")
-    return fit.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+def next_lease(queue: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """Queue entries (node, enq_seq, job_id, not_before) and jobs (job_id, state, owner, ...) -> per node the first
+    entry in queue order whose job exists, is ready, is the node's own and is past its back-off."""
+    fit = queue.join(jobs, "job_id").where((F.col("state") == READY) & (F.col("owner") == F.col("node")) & (now >= F.col("not_before")))
+    rest = [c for c in fit.columns if c not in ("node", "enq_seq")]
+    return fit.groupBy("node").agg(F.min(F.struct("enq_seq", *rest)).alias("x")).select("node", "x.*")
 
 
-def grant(job: DataFrame) -> DataFrame:
-    """Outcome of a grant: dead letter once attempts are spent, else the lease that a worker gets."""
-    spent = F.col("lease_seq") + 1 > F.col("max_attempts")
-    return job.withColumn("outcome", F.when(spent, "dead_letter").otherwise("leased")).withColumn("lease_seq", F.when(spent, F.col("lease_seq")).otherwise(F.col("lease_seq") + 1))
+def grant(picked: DataFrame, confirmed: Column, can_reach: Column) -> DataFrame:
+    """Outcome of a poll for the job picked: no_quorum without reachable copies (nothing is spent), dead_letter once
+    attempts are spent, leased where ``confirmed``, else no_quorum with the sequence spent and a back-off."""
+    following = F.col("lease_seq") + 1
+    spent = following > F.col("max_attempts")
+    outcome = F.when(~can_reach, "no_quorum").when(spent, "dead_letter").when(confirmed, "leased").otherwise("no_quorum")
+    taken = can_reach & ~spent
+    return picked.withColumn("outcome", outcome).withColumn("lease_seq", F.when(taken, following).otherwise(F.col("lease_seq"))).withColumn(
+        "back_off_ms", F.when(taken & ~confirmed, nack_backoff_ms(F.col("lease_seq")))
+    )
+
+
+def lease_view(jobs: DataFrame) -> DataFrame:
+    """What a worker gets to see of a job it leased."""
+    return jobs.select("job_id", "url", "body", "idem_key", "epoch", "lease_seq", "visibility_ms", F.col("lease_seq").alias("attempt"))
+
+
+def grant_numbers(grants: DataFrame) -> DataFrame:
+    """Grants (job_id, log_ord, pos) -> with ``grant_no``, their number within the job."""
+    return grants.withColumn("grant_no", F.row_number().over(Window.partitionBy("job_id").orderBy("log_ord", "pos")))
 
 
 def ack_outcome(tokens: DataFrame, jobs: DataFrame) -> DataFrame:

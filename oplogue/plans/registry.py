@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes, text
-from ..functions.hashing import endpoint_key, splitmix64
-from ..operators import audit, leases, merge, metrics, placement, quorum, replay, requests
+from ..operators import audit, fences, leases, loads, merge, metrics, placement, quorum, replay, requests
+from ..sources import text as lines
 from . import tables as t
 from .tables import LOG_SQL, NODES
 
@@ -76,28 +76,29 @@ def idem_index(spark, d):
     return merge.idempotency_index(t.log_records(spark, d))
 
 
-REPLAY_SQL = LOG_SQL + """, folded as (select node, job_id, list_reduce(list_prepend(
-  {'pos': cast(-1 as bigint), 't': 0, 'e': cast(0 as bigint), 's': cast(0 as bigint), 'c': 0, 'n': node, 'st': cast(0 as int), 'at': cast(0 as bigint), 'o': ''},
-  list({'pos': pos, 't': rec_type, 'e': epoch, 's': lease_seq, 'c': copy_state, 'n': node, 'st': cast(0 as int), 'at': cast(0 as bigint), 'o': ''} order by pos)),
+_NONE = "'c': 0, 'n': '', 'b': ''"
+_JOB = lambda e, s, st, at, o, b: f"{{'pos': r.pos, 't': 0, 'e': {e}, 's': {s}, 'c': 0, 'n': '', 'b': {b}, 'st': {st}, 'at': {at}, 'o': {o}}}"
+REPLAY_SQL = LOG_SQL + f""", folded as (select node, job_id, list_reduce(list_prepend(
+  {{'pos': cast(-1 as bigint), 't': 0, 'e': cast(0 as bigint), 's': cast(0 as bigint), {_NONE}, 'st': cast(0 as int), 'at': cast(0 as bigint), 'o': ''}},
+  list({{'pos': pos, 't': rec_type, 'e': epoch, 's': lease_seq, 'c': copy_state, 'n': owner, 'b': body, 'st': cast(0 as int), 'at': cast(0 as bigint), 'o': ''}} order by pos)),
   lambda j, r: case
-    when r.t = 1 or (r.t = 2 and (j.st = 0 or (r.e, r.c = 3, r.c = 4, r.s, r.c = 2) > (j.e, j.st = 3, j.st = 4, j.s, j.st = 2)))
-      then {'pos': r.pos, 't': 0, 'e': r.e, 's': r.s, 'c': 0, 'n': r.n, 'st': r.c, 'at': r.s, 'o': r.n}
-    when r.t = 3 and j.st in (1, 2) and r.e >= j.e then {'pos': r.pos, 't': 0, 'e': r.e, 's': r.s, 'c': 0, 'n': r.n, 'st': 2, 'at': r.s, 'o': j.o}
-    when r.t = 4 and j.st in (1, 2, 4) and r.e >= j.e then {'pos': r.pos, 't': 0, 'e': r.e, 's': j.s, 'c': 0, 'n': r.n, 'st': 3, 'at': j.at, 'o': j.o}
-    when r.t = 5 and j.st = 2 and r.e >= j.e and r.s = j.s then {'pos': r.pos, 't': 0, 'e': r.e, 's': j.s, 'c': 0, 'n': r.n, 'st': 1, 'at': j.at, 'o': j.o}
-    when r.t = 6 and j.st in (1, 2, 4) and r.e >= j.e then {'pos': r.pos, 't': 0, 'e': r.e, 's': j.s, 'c': 0, 'n': r.n, 'st': 4, 'at': j.at, 'o': j.o}
-    when r.t = 7 and j.st > 0 and r.e > j.e then {'pos': r.pos, 't': 0, 'e': r.e, 's': j.s, 'c': 0, 'n': r.n, 'st': j.st, 'at': j.at, 'o': r.n}
+    when r.t = 1 or (r.t = 2 and (j.st = 0 or (r.e, r.c = 3, r.c = 4, r.s, r.c = 2) > (j.e, j.st = 3, j.st = 4, j.s, j.st = 2))) then {_JOB("r.e", "r.s", "r.c", "r.s", "r.n", "r.b")}
+    when r.t = 3 and j.st in (1, 2) and r.e >= j.e then {_JOB("r.e", "r.s", "2", "r.s", "j.o", "j.b")}
+    when r.t = 4 and j.st in (1, 2, 4) and r.e >= j.e then {_JOB("r.e", "j.s", "3", "j.at", "j.o", "''")}
+    when r.t = 5 and j.st = 2 and r.e >= j.e and r.s = j.s then {_JOB("r.e", "j.s", "1", "j.at", "j.o", "j.b")}
+    when r.t = 6 and j.st in (1, 2, 4) and r.e >= j.e then {_JOB("r.e", "j.s", "4", "j.at", "j.o", "j.b")}
+    when r.t = 7 and j.st > 0 and r.e > j.e then {_JOB("r.e", "j.s", "j.st", "j.at", "r.n", "j.b")}
     else j end) j from log group by node, job_id),
-jobs as (select node, job_id, j.st state, j.e epoch, j.s lease_seq, j.at attempts, j.o owner from folded where j.st > 0)
+held as (select node, job_id, j.st state, j.e epoch, j.s lease_seq, j.at attempts, j.o owner, j.b body from folded where j.st > 0)
 """
 
 
-@query(REPLAY_SQL + "select * from jobs")
+@query(REPLAY_SQL + "select * from held")
 def replay_jobs(spark, d):
     return replay.replay(t.log_records(spark, d))
 
 
-@query(REPLAY_SQL + "select node, state, count(*) n from jobs group by 1, 2")
+@query(REPLAY_SQL + "select node, state, count(*) n from held where owner = node group by 1, 2")
 def queue_depth(spark, d):
     return replay.queue_depth(replay.replay(t.log_records(spark, d)))
 
@@ -135,6 +136,82 @@ def latency_hist(spark, d):
     return metrics.histogram(_seconds(spark, d), ["instance"])
 
 
+@query("select 'node' || (user_id % 5) instance, count(*) \"count\", round(sum(value / 1000), 6) \"sum\" from events group by 1")
+def latency_totals(spark, d):
+    return metrics.totals(_seconds(spark, d), ["instance"]).select("instance", "count", F.round("sum", 6).alias("sum"))
+
+
+SCRAPE_SQL = """with b as (select o_custkey % 7 run, o_orderkey % 5 node, case when o_orderkey % 13 = 0 then 503 else 200 end code, round(o_totalprice)::bigint % 100 n, o_orderkey from orders),
+c as (select run, node, code, le, case le when 0.25 then n // 3 when 0.5 then n // 2 else n end cum, n + 1 total from b, (values (0.25::double), (0.5::double), (1.0::double)) v(le)),
+s as (select run, le, sum(cum)::bigint cum, sum(total)::bigint total from c where code = 200 group by run, le),
+"""
+
+
+def _scrapes(spark, d):
+    b = t.read(spark, d, "orders").select(
+        F.expr("o_custkey % 7").alias("run"), F.expr("o_orderkey % 5").alias("node"), F.expr("if(o_orderkey % 13 = 0, 503, 200)").alias("code"), F.expr("cast(round(o_totalprice) as bigint) % 100").alias("n"),
+    )
+    return b.select("*", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0))).alias("le")).withColumn("cum", F.expr("case le when 0.25 then n div 3 when 0.5 then n div 2 else n end"))
+
+
+@query(SCRAPE_SQL.rstrip(",\n") + " select run, le, cum from s")
+def scrape_sums(spark, d):
+    return metrics.sum_scrapes(_scrapes(spark, d), ["run"])
+
+
+@query("select o_custkey % 7 run, count(*) filter (o_orderkey % 13 = 0) unreachable from orders group by 1")
+def unreachable_nodes(spark, d):
+    return metrics.unreachable(_scrapes(spark, d).where("le = 0.25"), ["run"])
+
+
+@query(SCRAPE_SQL + """p as (select *, lag(le, 1, 0.0) over w prev_le, lag(cum, 1, 0) over w prev_cum from s window w as (partition by run order by le)),
+x as (select *, q * total target from p, (values (0.5::double), (0.99::double), (1.0::double)) v(q))
+select run, q, coalesce(arg_min((prev_le + (le - prev_le) * case when cum - prev_cum <= 0 then 1.0 else (target - prev_cum) / (cum - prev_cum) end) * 1000.0, le) filter (cum >= target), max(le) * 1000.0) "value"
+  from x group by run, q""")
+def count_quantiles(spark, d):
+    s = _scrapes(spark, d)
+    counts = s.where("le = 0.25 and code = 200").groupBy("run").agg(F.sum(F.col("n") + 1).alias("count"))
+    return metrics.quantiles(metrics.sum_scrapes(s, ["run"]), ["run"], [0.5, 0.99, 1.0], counts=counts)
+
+
+@query("""select o_orderstatus, count(*) offered, count(*) filter (o_orderkey % 10 <> 0) accepted, count(*) filter (o_orderkey % 10 = 0) errors from orders group by 1""")
+def load_tally(spark, d):
+    rows = t.read(spark, d, "orders").select("o_orderstatus", F.expr("case when o_orderkey % 10 = 0 then '503' when o_orderkey % 3 = 0 then '200' else '201' end").alias("code"))
+    return loads.tally(rows, ["o_orderstatus"])
+
+
+@query("""select (i % 4)::int thread, i // 4 n, ((i // 4) * 1000 * 4 / 50)::bigint due_ms, 'load-' || (i % 4) || '-' || (i // 4) "key", (((i % 4) + (i // 4)) % 3)::int gateway from range(500) r(i)""")
+def load_plan(spark, d):
+    return loads.plan(spark, 50, 10, 4, 3)
+
+
+@query("""select user_id % 5 node, count(*) filter (was is not null and was <> alive) churn from (select *, lag(alive) over (partition by user_id order by event_id) was
+  from (select user_id, event_id, event_id % 7 < 4 alive from events)) group by 1""")
+def membership_churn(spark, d):
+    e = t.read(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("at"), F.expr("event_id % 7 < 4").alias("alive"), F.expr("user_id % 5").alias("of"))
+    return loads.churn(e, ["of"]).withColumnRenamed("of", "node")
+
+
+@query("""select o_orderkey, printf('{"id":"%s","state":"%s","epoch":%d,"attempts":%d,"owner":"%s"}', 'j-' || o_orderkey, ['ready', 'leased', 'done', 'dead_letter'][1 + o_orderkey % 4],
+  1 + o_orderkey % 3, o_custkey % 4, 'n' || (o_custkey % 5)) status, printf('{"id":"%s","status":"%s"}', 'j-' || o_orderkey, case when o_orderkey % 2 = 0 then 'created' else 'duplicate' end) submitted,
+  '[{"node":"n' || (o_custkey % 5) || '"},{"node":"n' || ((o_custkey + 1) % 5) || '"}]' nodes, 'n' || (o_custkey % 5) captured from orders""")
+def status_json(spark, d):
+    j = t.jobs(spark, d)
+    jid = F.concat(F.lit("j-"), F.col("job_id").cast("string"))
+    status = text.job_json(jid, codes.state_name(F.col("state")), F.col("epoch"), F.col("lease_seq"), F.col("owner"))
+    return j.select(
+        F.col("job_id").alias("o_orderkey"), status.alias("status"), text.submit_json(jid, F.col("job_id") % 2 == 0).alias("submitted"),
+        text.nodes_json(F.slice("replicas", 1, 2)).alias("nodes"), text.captured(status, "owner").alias("captured"),
+    )
+
+
+@query("""select 'node' || (user_id % 5) instance, event_type, printf('events_total{instance="%s",kind="%s"} %d', 'node' || (user_id % 5), event_type, count(*)) line from events group by 1, 2""")
+def exposition(spark, d):
+    g = t.read(spark, d, "events").groupBy(F.concat(F.lit("node"), F.expr("user_id % 5").cast("string")).alias("instance"), "event_type").agg(F.count("*").alias("n"))
+    rows = g.select("instance", "event_type", F.lit("events_total").alias("name"), F.create_map(F.lit("kind"), F.col("event_type"), F.lit("instance"), F.col("instance")).alias("labels"), F.col("n").alias("value"))
+    return lines.exposition(rows, "counter").select(F.regexp_extract("value", 'instance="([^"]*)"', 1).alias("instance"), F.regexp_extract("value", 'kind="([^"]*)"', 1).alias("event_type"), F.col("value").alias("line"))
+
+
 @query(HIST_SQL + """select instance, q, arg_min((prev_le + (case when le > 1e17 then prev_le * 2 else le end - prev_le) *
   case when cum - prev_cum <= 0 then 1.0 else (target - prev_cum) / (cum - prev_cum) end) * 1000.0, le) "value" from qs where cum >= target group by 1, 2""")
 def latency_quantiles(spark, d):
@@ -155,34 +232,79 @@ def hist_delta(spark, d):
     return metrics.delta(c.where("half = 1"), c.where("half = 0"), ["le"], "n")
 
 
-def _rate_sql(seconds: int) -> str:
-    return f"""with s as (select 'node' || (user_id % 5) instance, ts, cast(event_id % 1000 as double) v from events),
-p as (select *, lag(v) over (partition by instance order by ts, v) was from s),
-st as (select instance, cast(floor(epoch_us(ts) / ({seconds} * 1000000.0)) * {seconds} as bigint) window_start,
-  case when was is null then 0.0 when v < was then v else v - was end step from p)
-select instance, window_start, sum(step) "increase", sum(step) / {seconds} rate from st group by 1, 2"""
+def _range_sql(source: str, keys: str, seconds: int, step: int) -> str:
+    """The rule of a sliding range, each sample paired with each evaluation time."""
+    return f"""s as ({source}),
+l as (select *, lag(value) over w was, lag("at") over w since from s window w as (partition by {keys} order by "at", value)),
+t as (select distinct {keys}, g.ev from s, lateral (select unnest(range(((s."at" + {step - 1}) // {step}) * {step}, s."at" + {seconds}, {step})) ev) g),
+x as (select t.*, l."at" ts, value, since, was from t join l using ({keys}) where l."at" > ev - {seconds} and l."at" <= ev),
+a as (select {keys}, ev, min(ts) t0, max(ts) t1, count(*) n, arg_min(value, ts * 1e6 + value) v0,
+  coalesce(sum(case when value < was then value else value - was end) filter (since > ev - {seconds}), 0) grown from x group by {keys}, ev having count(*) >= 2 and max(ts) > min(ts)),
+d as (select *, (t1 - t0)::double span, (t1 - t0)::double / (n - 1) gap, (t0 - ev + {seconds})::double head0, (ev - t1)::double tail0 from a),
+h as (select *, case when head0 >= gap * 1.1 then gap / 2 else head0 end head1, case when tail0 >= gap * 1.1 then gap / 2 else tail0 end tail1,
+  case when grown > 0 and v0 >= 0 then span * v0 / grown end zero from d),
+ranged as (select {keys}, ev "at", grown * ((span + case when zero < head1 then zero else head1 end + tail1) / span) "increase" from h)"""
 
 
-@query(_rate_sql(60))
+_SAMPLES = """select 'node' || (event_id % 5) instance, event_id * 3 "at", cast((event_id // 5 * 7 + event_id % 3) % 1000 as double) "value" from events"""
+
+
+@query("with " + _range_sql(_SAMPLES, "instance", 60, 15) + """ select instance, "at", round("increase", 6) "increase", round("increase" / 60, 6) rate from ranged""")
 def rate_1m(spark, d):
-    return metrics.over_range(metrics.increases(t.samples(spark, d), ["instance"]), ["instance"], 60)
+    r = metrics.over_range(t.samples(spark, d).select("instance", "at", "value"), ["instance"], 60, 15)
+    return r.select("instance", "at", F.round("increase", 6).alias("increase"), F.round("rate", 6).alias("rate"))
 
 
-@query(_rate_sql(300))
+@query("with " + _range_sql(_SAMPLES, "instance", 300, 60) + """ select "at", round(sum("increase"), 6) "increase" from ranged group by "at\"""")
 def increase_5m(spark, d):
-    return metrics.over_range(metrics.increases(t.samples(spark, d), ["instance"]), ["instance"], 300)
+    r = metrics.over_range(t.samples(spark, d).select("instance", "at", "value"), ["instance"], 300, 60)
+    return metrics.sum_by(r, ["at"], "increase").select("at", F.round("increase", 6).alias("increase"))
+
+
+@query("with " + _range_sql("""select 'node' || (event_id % 5) instance, event_id * 3 "at", le, cast(event_id // 5 * m as double) "value" from events,
+  (values (0.25, 2), (0.5, 5), (1.0, 9), (1e18, 10)) b(le, m)""", "instance, le", 60, 60) + """,
+c as (select "at", le, sum("increase" / 60) cum from ranged group by "at", le),
+p as (select *, lag(le, 1, 0.0) over w prev_le, lag(cum, 1, 0.0) over w prev_cum, max(cum) over (partition by "at") total from c window w as (partition by "at" order by le)),
+q as (select *, q * total target from p, (values (0.5), (0.95), (0.99)) v(q))
+select "at", q::double q, round(arg_min(case when le > 1e17 then prev_le else prev_le + (le - prev_le) * case when cum <= prev_cum then 1.0 else (target - prev_cum) / (cum - prev_cum) end end, le)
+  filter (cum >= target), 6) "value" from q group by "at", q.q having max(total) > 0""")
+def quantile_of_rates(spark, d):
+    r = metrics.over_range(t.bucket_samples(spark, d), ["instance", "le"], 60, 60)
+    cum = metrics.sum_by(r, ["at", "le"], "rate").withColumnRenamed("rate", "cum")
+    return metrics.quantiles(cum, ["at"], [0.5, 0.95, 0.99], prometheus=True).where("value is not null").select("at", "q", F.round("value", 6).alias("value"))
+
 
+@query("""select sum("value") "value" from (select arg_max(cast((event_id // 5 * 7 + event_id % 3) % 1000 as double), event_id) "value" from events where event_id % 3 = 1 group by event_id % 5)""")
+def instant_sum(spark, d):
+    return metrics.latest(t.samples(spark, d), ["instance"], F.col("shard") == 1).agg(F.sum("value").alias("value"))
 
-@query("select 'node' || (user_id % 5) instance, cast(arg_max(event_id % 1000, ts) as double) \"value\" from events group by 1")
+
+@query("select 'node' || (event_id % 5) instance, arg_max(cast((event_id // 5 * 7 + event_id % 3) % 1000 as double), event_id) \"value\" from events group by 1")
 def instant_latest(spark, d):
     return metrics.latest(t.samples(spark, d), ["instance"])
 
 
-_ring = ", ".join(f"({splitmix64(endpoint_key(n))}::hugeint, '{n}')" for n in NODES)
-RING_SQL = f"""with nodes(pos, node) as (values {_ring}),
+_M = "18446744073709551616::hugeint"
+
+
+def _times(a: str, b: int) -> str:
+    """(a * b) modulo 2^64 of unsigned numbers, in halves that a hugeint holds."""
+    return f"((({a}) % 4294967296::hugeint * {b}::hugeint) % {_M} + (((({a}) // 4294967296::hugeint) * {b % 2**32}::hugeint) % 4294967296::hugeint) * 4294967296::hugeint) % {_M}"
+
+
+# The ring from the nodes' addresses: endpoint key, then the finaliser, both in SQL.
+RING_SQL = f"""with n0(node) as (values {', '.join(f"('{n}')" for n in NODES)}),
+n1 as (select node, string_split(string_split(node, ':')[1], '.') o, string_split(node, ':')[2]::hugeint port from n0),
+n2 as (select node, (o[1]::hugeint + o[2]::hugeint * 256 + o[3]::hugeint * 65536 + o[4]::hugeint * 16777216) * 65536 + (port % 256) * 256 + port // 256 x from n1),
+n3 as (select node, (x + 11400714819323198485::hugeint) % {_M} x from n2),
+n4 as (select node, xor(x, x // 1073741824::hugeint) x from n3),
+n5 as (select node, {_times("x", 0xBF58476D1CE4E5B9)} x from n4),
+n6 as (select node, xor(x, x // 134217728::hugeint) x from n5),
+n7 as (select node, {_times("x", 0x94D049BB133111EB)} x from n6),
+nodes as (select node, xor(x, x // 2147483648::hugeint) pos from n7),
 k as (select distinct 'k-' || o_custkey "key" from orders),
 h as (select "key", list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, len("key") + 1), lambda i: ord("key"[i])::hugeint)),
-  lambda a, b: (xor(a, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint) hash from k),
+  lambda a, b: (xor(a, b) * 1099511628211::hugeint) % {_M}) hash from k),
 r as (select "key", hash, node, row_number() over (partition by "key" order by pos < hash, pos) i from h cross join nodes)
 """
 
@@ -213,9 +335,12 @@ def peer_slots(spark, d):
     return quorum.peer_slots(p, F.lit(NODES[0])).select("key", F.col("slot").cast("bigint").alias("slot"), "peer")
 
 
-@query(LOG_SQL + "select txn, count(*) filter (ok) acks, count(*) filter (ok) >= 1 committed from acks group by txn")
+@query(LOG_SQL + """select o_orderkey txn, count(distinct case when ok then slot end) acks, count(distinct slot) answered,
+  case when count(distinct case when ok then slot end) >= case when o_custkey % 4 > 0 then 1 else 0 end then 'created'
+    when count(distinct slot) >= o_custkey % 4 then 'no_quorum' else 'pending' end outcome from orders left join acks on txn = o_orderkey group by o_orderkey, o_custkey""")
 def quorum_commit(spark, d):
-    return quorum.quorum_commit(t.acks(spark, d))
+    peers = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("txn"), F.expr("o_custkey % 4").alias("n_peers"))
+    return quorum.commit_outcome(t.acks(spark, d), peers)
 
 
 @query(LOG_SQL + "select txn, bit_or(case when ok then 1 << slot else 0 end) mask, bit_or(case when ok then 1 << slot else 0 end) & 7 = 7 complete from acks group by txn")
@@ -228,24 +353,148 @@ def repair_backlog(spark, d):
     return quorum.repair_backlog(quorum.confirmed_mask(t.acks(spark, d), F.lit(7)))
 
 
-@query(LOG_SQL + "select txn, cast(s as int) slot from (select txn, bit_or(case when ok then 1 << slot else 0 end) m from acks group by txn) cross join range(3) r(s) where m & (1 << cast(s as int)) = 0")
+_ALIVE = "['n0', 'n2', 'n3']"
+_alive = lambda: F.array(*map(F.lit, t.ALIVE))
+
+
+@query(LOG_SQL + f"""select m.txn, cast(s as int) slot, replicas[s + 1] peer from (select txn, bit_or(case when ok then 1 << slot else 0 end) m from acks group by txn) m
+  join jobs on job_id = txn and owner = 'n0' cross join range(3) r(s) where m & (1 << cast(s as int)) = 0 and replicas[s + 1] not in ('', 'n0') and list_contains({_ALIVE}, replicas[s + 1])""")
 def repair_resend(spark, d):
-    return quorum.resend(quorum.confirmed_mask(t.acks(spark, d), F.lit(7)))
+    return quorum.resend(quorum.confirmed_mask(t.acks(spark, d), F.lit(7)), t.jobs(spark, d), F.lit("n0"), _alive())
+
+
+_RANK = "case {} when 3 then 3 when 4 then 2 when 2 then 1 else 0 end"
+MERGED_SQL = LOG_SQL + f""", ans as (select txn job_id, count(distinct case when ok then slot end) slots, max(case when ok then lease_seq end) seq,
+    max(case when ok then {_RANK.format("state")} end) strongest from acks group by txn),
+merged as (select j.job_id, greatest(seq, j.lease_seq) best_seq, slots, slots >= 1 granted,
+  case when coalesce(strongest, -1) > {_RANK.format("j.state")} then case strongest when 3 then 3 when 2 then 4 when 1 then 2 else 1 end else j.state end best_state
+  from ans a join jobs j on a.job_id = j.job_id)
+"""
+
+
+def _merged(spark, d):
+    answers = t.acks(spark, d).select(F.col("txn").alias("job_id"), "slot", F.when(F.col("ok"), "created").otherwise("stale_epoch").alias("status"), "state", "lease_seq")
+    return fences.merged_answers(answers, t.jobs(spark, d), 3)
 
 
-@query(LOG_SQL + """select txn claim, max(lease_seq) best_seq, arg_max(state, case state when 3 then 3 when 4 then 2 when 2 then 1 else 0 end) best_state,
-  count(distinct slot) slots, count(distinct slot) >= 1 granted from acks group by txn""")
+@query(MERGED_SQL + "select job_id, best_seq, best_state, slots, granted from merged")
 def claim_merge(spark, d):
-    return quorum.claim_merge(t.acks(spark, d).withColumnRenamed("txn", "claim"), 3)
+    return _merged(spark, d)
 
 
-@query("""with q as (select 'node' || (event_id % 5) node, event_id enq_seq, cast(1 + event_id % 4 as int) state, event_id % 97 not_before from events)
-select node, min(enq_seq) enq_seq from q where state = 1 and not_before <= 20 group by node""")
-def fifo_lease(spark, d):
-    q = t.read(spark, d, "events").select(
-        F.concat(F.lit("node"), F.expr("event_id % 5").cast("string")).alias("node"), F.col("event_id").alias("enq_seq"), F.expr("cast(1 + event_id % 4 as int)").alias("state"), F.expr("event_id % 97").alias("not_before"),
+@query(MERGED_SQL + """select m.job_id, case when best_state = 3 and state <> 3 then 'done' when best_state = 4 and state not in (3, 4) then 'dead_letter'
+    when (best_state = 2 or best_seq > lease_seq) and (state <> 2 or lease_seq < best_seq) then 'lease' else 'none' end "action",
+  case when best_state = 3 and state <> 3 or best_state = 4 and state not in (3, 4) then lease_seq
+    when (best_state = 2 or best_seq > lease_seq) and (state <> 2 or lease_seq < best_seq) then greatest(best_seq, lease_seq) else lease_seq end lease_seq,
+  not (best_state = 3 and state <> 3) and not (best_state = 4 and state not in (3, 4)) and (best_state = 2 or best_seq > lease_seq or state = 2) wait
+  from merged m join jobs j on m.job_id = j.job_id where granted""")
+def takeover_action(spark, d):
+    return fences.takeover_action(_merged(spark, d).where("granted"), t.jobs(spark, d))
+
+
+APPLY_SQL = LOG_SQL + """, applied as (select l_orderkey, l_linenumber, case when j.epoch is null then 'unknown_job' when m.epoch < j.epoch then 'stale_epoch'
+  when sender <> owner and not takeover then 'not_owner' else 'created' end status from msg m left join jobs j on m.job_id = j.job_id)
+"""
+
+
+@query(APPLY_SQL + "select * from applied")
+def apply_fence(spark, d):
+    return fences.apply_outcome(t.messages(spark, d), t.jobs(spark, d)).select("l_orderkey", "l_linenumber", "status")
+
+
+@query(APPLY_SQL + "select l_linenumber, count(*) filter (status = 'stale_epoch') fenced_stale from applied group by 1")
+def fenced_stale(spark, d):
+    return fences.fenced(fences.apply_outcome(t.messages(spark, d), t.jobs(spark, d)), ["l_linenumber"])
+
+
+@query(LOG_SQL + """select l_orderkey, l_linenumber, case when m.epoch < j.epoch then 'stale_epoch' else 'created' end status, j.epoch is null or (not m.epoch < j.epoch
+  and (m.epoch, m.copy_state = 3, m.copy_state = 4, m.lease_seq, m.copy_state = 2) > (j.epoch, j.state = 3, j.state = 4, j.lease_seq, j.state = 2)) adopted
+  from msg m left join jobs j on m.job_id = j.job_id""")
+def replicate_fence(spark, d):
+    return fences.replicate_outcome(t.messages(spark, d), t.jobs(spark, d)).select("l_orderkey", "l_linenumber", "status", "adopted")
+
+
+@query(LOG_SQL + """, c as (select l_orderkey, l_linenumber, case when sender <> new_owner then 'invalid' when j.epoch is null then 'unknown_job'
+    when not list_contains(replicas, new_owner) then 'not_owner' when m.epoch < j.epoch or (m.epoch = j.epoch and owner <> new_owner) then 'stale_epoch' else 'created' end status,
+  m.epoch > j.epoch later from msg m left join jobs j on m.job_id = j.job_id)
+select l_orderkey, l_linenumber, status, status = 'created' and later takeover from c""")
+def claim_fence(spark, d):
+    claims = t.messages(spark, d).drop("takeover").withColumnRenamed("epoch", "proposed")
+    return fences.claim_outcome(claims, t.jobs(spark, d)).select("l_orderkey", "l_linenumber", "status", "takeover")
+
+
+@query(LOG_SQL + """, best as (select job_id, (list({'e': epoch, 'st': copy_state, 's': lease_seq, 'o': sender} order by epoch desc, copy_state = 3 desc, copy_state = 4 desc, lease_seq desc,
+    copy_state = 2 desc, sender desc))[1] r from msg group by job_id),
+x as (select j.*, r, r is not null and (r.e, r.st = 3, r.st = 4, r.s, r.st = 2) > (epoch, state = 3, state = 4, lease_seq, state = 2) adopted from jobs j left join best b on j.job_id = b.job_id)
+select job_id, case when adopted then r.e else epoch end epoch, case when adopted then r.st else state end state, case when adopted then r.s else lease_seq end lease_seq,
+  case when adopted then r.o else owner end owner, adopted from x""")
+def resync(spark, d):
+    remote = t.messages(spark, d).select("job_id", "epoch", F.col("copy_state").alias("state"), "lease_seq", F.col("sender").alias("owner"))
+    return fences.resync(t.jobs(spark, d), remote)
+
+
+@query(LOG_SQL + f"""select job_id, list_filter(replicas, lambda r: list_contains({_ALIVE}, r))[1] successor, epoch + 1 proposed from jobs where state not in (3, 4) and owner in ('n1', 'n4')""")
+def takeover_targets(spark, d):
+    return fences.takeover_targets(t.jobs(spark, d), F.array(F.lit("n1"), F.lit("n4")), _alive())
+
+
+@query(LOG_SQL + f"""select job_id, list_filter(replicas, lambda r: r not in ('', 'n0') and list_contains({_ALIVE}, r))[1] "to" from jobs where owner = 'n0' and state not in (3, 4)""")
+def drain_plan(spark, d):
+    return fences.drain_plan(t.jobs(spark, d), F.lit("n0"), _alive())
+
+
+@query(LOG_SQL + "select count(*) remaining, count(*) = 0 complete from jobs where owner = 'n0' and state not in (3, 4)")
+def drain_status(spark, d):
+    return fences.drained(fences.drain_plan(t.jobs(spark, d), F.lit("n0"), _alive()))
+
+
+@query(LOG_SQL + """select job_id, case when exists (select 1 from acks where txn = job_id group by txn having bit_or(case when ok then 1 << slot else 0 end) & 7 <> 7) then 'no_quorum' else 'ok' end status
+  from jobs where state = 3""")
+def completion_again(spark, d):
+    backlog = quorum.confirmed_mask(t.acks(spark, d), F.lit(7)).where("not complete").select(F.col("txn").alias("job_id"))
+    return quorum.completion_again(t.jobs(spark, d).where("state = 3"), backlog)
+
+
+@query(LOG_SQL + f"""select job_id, nullif(list_position(replicas, 'n2'), 0) - 1 slot, list_filter({_ALIVE}, lambda a: a <> 'n0') others,
+  list_concat(['n1'], {_ALIVE}) everyone, len(list_filter(replicas, lambda r: r not in ('', 'n0'))) = 0 or len(list_filter(replicas, lambda r: r not in ('', 'n0') and list_contains({_ALIVE}, r))) > 0 reachable,
+  owner = 'n0' and state not in (3, 4) owned_active, case when owner = 'n0' then ['n0', 'n2', 'n3'] else [owner] || list_filter({_ALIVE}, lambda a: a <> owner)[1:2] end fallback from jobs""")
+def membership(spark, d):
+    j, n0 = t.jobs(spark, d), F.lit("n0")
+    return j.select(
+        "job_id", quorum.slot_of(F.col("replicas"), F.lit("n2")).cast("bigint").alias("slot"), fences.without_self(_alive(), n0).alias("others"), fences.with_self(_alive(), F.lit("n1")).alias("everyone"),
+        fences.reachable(F.col("replicas"), n0, _alive()).alias("reachable"), ((F.col("owner") == n0) & fences.active(F.col("state"))).alias("owned_active"),
+        placement.fallback(F.col("owner"), _alive()).alias("fallback"),
     )
-    return leases.next_lease(q, F.lit(20)).select("node", "enq_seq")
+
+
+QUEUE_SQL = LOG_SQL + """, fit as (select q.*, lease_seq, max_attempts, replicas, row_number() over (partition by node order by enq_seq) r
+  from queue q join jobs j on q.job_id = j.job_id where state = 1 and owner = node and not_before <= 20)
+"""
+
+
+@query(QUEUE_SQL + "select node, enq_seq, job_id from fit where r = 1")
+def fifo_lease(spark, d):
+    return leases.next_lease(t.queue(spark, d), t.jobs(spark, d), F.lit(20)).select("node", "enq_seq", "job_id")
+
+
+@query(QUEUE_SQL + """, g as (select job_id, enq_seq, lease_seq, max_attempts, job_id % 2 = 0 ok, len(list_filter(replicas, lambda r: r not in ('', node) and r in ('n0', 'n3'))) > 0 reach from fit)
+select enq_seq, job_id, case when not reach then 'no_quorum' when lease_seq + 1 > max_attempts then 'dead_letter' when ok then 'leased' else 'no_quorum' end outcome,
+  case when reach and lease_seq + 1 <= max_attempts then lease_seq + 1 else lease_seq end lease_seq,
+  case when reach and lease_seq + 1 <= max_attempts and not ok then (1000 * pow(2, lease_seq))::bigint end back_off_ms from g""")
+def grant_outcome(spark, d):
+    q = t.queue(spark, d).join(t.jobs(spark, d), "job_id").where("state = 1 and owner = node and not_before <= 20")
+    can = fences.reachable(F.col("replicas"), F.col("node"), F.array(F.lit("n0"), F.lit("n3")))
+    return leases.grant(q, F.col("job_id") % 2 == 0, can).select("enq_seq", "job_id", "outcome", "lease_seq", "back_off_ms")
+
+
+@query(LOG_SQL + "select job_id, log_ord, pos, row_number() over (partition by job_id order by log_ord, pos)::int grant_no from log where rec_type = 3")
+def grant_numbers(spark, d):
+    return leases.grant_numbers(t.log_records(spark, d).where("rec_type = 3")).select("job_id", "log_ord", "pos", "grant_no")
+
+
+@query(LOG_SQL + "select node, pos, (7::bigint << 32) | (row_number() over (partition by node order by pos) - 1) nonce from log")
+def job_nonces(spark, d):
+    return codes.nonces(t.log_records(spark, d), 7, "pos").select("node", "pos", "nonce")
 
 
 @query(LOG_SQL + """, tok as (select job_id, log_ord, pos, epoch tok_epoch, lease_seq tok_seq from log where rec_type = 3),
@@ -261,15 +510,16 @@ def ack_outcome(spark, d):
     return leases.ack_outcome(tok, merge.merge_latest_copy(log)).select("job_id", "log_ord", "pos", "outcome")
 
 
-@query("""with q as (select event_id req_id, user_id u, ts sent from events where event_type = 'click'),
-p as (select user_id u, ts got from events where event_type = 'view')
-select req_id, min(got) got, case when min(got) is null then 'timeout' else 'ok' end outcome
-from q left join p on q.u = p.u and got >= sent and got <= sent + interval 86400000 milliseconds group by req_id""")
+@query("""with q as (select event_id req_id, user_id u, ts sent, event_id % 70000 bytes from events where event_type = 'click'),
+r as (select req_id, bytes, sent, min(got) filter (event_type = 'view') got, min(got) filter (event_type = 'error') died
+  from q left join (select user_id u, ts got, event_type from events where event_type in ('view', 'error')) p on q.u = p.u and got >= sent and got <= sent + interval 86400000 milliseconds group by all),
+o as (select *, case when bytes > 65536 then 'too_large' when died is not null and (got is null or died < got) then 'peer_down' when got is not null then 'ok' else 'timeout' end outcome from r)
+select req_id, outcome, case when outcome = 'ok' then got end got from o""")
 def request_timeout(spark, d):
     e = t.read(spark, d, "events")
-    sent = e.where("event_type = 'click'").select(F.col("event_id").alias("req_id"), "user_id", F.col("ts").alias("sent"))
-    got = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("got"))
-    return requests.outcomes(sent, got, 86_400_000, "user_id")
+    sent = e.where("event_type = 'click'").select(F.col("event_id").alias("req_id"), F.col("user_id").alias("peer"), F.col("ts").alias("sent"), F.expr("event_id % 70000").alias("bytes"))
+    at = lambda kind, name: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("peer"), F.col("ts").alias(name))
+    return requests.outcomes(sent, at("view", "got"), 86_400_000, at("error", "died"))
 
 
 ROUTES = ["/", "/en", "/en/1", "/de", "/fr/8", "/es/"]
@@ -279,7 +529,7 @@ ROUTES = ["/", "/en", "/en/1", "/de", "/fr/8", "/es/"]
 select page_id, arg_max(prefix, length(prefix)) route from p left join r on starts_with(path, prefix) group by page_id""")
 def prefix_route(spark, d):
     p = t.read(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path"))
-    return requests.route(p, spark.createDataFrame([(r,) for r in ROUTES], "prefix string")).select("page_id", "route")
+    return requests.route(p, spark.createDataFrame([(r,) for r in ROUTES], "prefix string"))
 
 
 @query("""select i attempt, cast(case when i > 6 then least(64000, 60000) else 1000 * pow(2, greatest(i - 1, 0)) end as bigint) backoff_ms,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODES = [f"10.77.0.{i}:9000" for i in range(10, 15)]
+NODES = [f"192.0.2.{i}:7400" for i in range(31, 36)]
+ALIVE = ["n0", "n2", "n3"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,15 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("node"), F.expr("event_id % 5").cast("string")).alias("node"), F.expr("event_id % 5").alias("log_ord"), F.expr("event_id div 5").alias("pos"),
         kind.alias("rec_type"), F.concat(F.lit("j-"), num.cast("string")).alias("job_id"), F.expr("cast(1 + k % 3 as bigint)").alias("epoch"),
         F.expr("cast(k % 4 as bigint)").alias("lease_seq"), F.expr("case when k % 10 < 5 then 1 when k % 10 < 8 then 2 when k % 10 = 8 then 3 else 4 end").alias("copy_state"),
-        F.concat(F.lit("k-"), F.expr("if(user_id % 7 = 0, user_id * 8, user_id * 8 + event_id % 8)").cast("string")).alias("idem_key"), "ts",
+        F.concat(F.lit("k-"), F.expr("if(user_id % 7 = 0, user_id * 8, user_id * 8 + event_id % 8)").cast("string")).alias("idem_key"),
+        F.when(kind == 1, F.concat(F.lit("node"), F.expr("event_id % 5").cast("string"))).when(kind.isin(2, 7), F.concat(F.lit("node"), F.expr("k % 5").cast("string"))).alias("owner"),
+        F.when(kind.isin(1, 2), F.concat(F.lit("b"), F.col("k").cast("string"))).alias("body"), "ts",
     )
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.expr("o_orderkey % 1500").cast("string")
+    """Ten orders in a row are lines of one key, so keys grow with the table."""
+    n = F.expr("o_orderkey div 10").cast("string")
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("line_no"), F.concat(F.lit("k-"), n).alias("key"), F.concat(F.lit("j-"), n).alias("id"),
         F.expr("case when o_orderkey % 10 = 0 then '503' when o_orderkey % 3 = 0 then '200' else '201' end").alias("code"),
@@ -34,9 +38,8 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey < 4000").select(
-        F.concat(F.lit("k-"), F.expr("l_orderkey % 1500").cast("string")).alias("key")
-    )
+    """An order's seventh line stands for a delivery of its key."""
+    return read(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.concat(F.lit("k-"), F.expr("l_orderkey div 10").cast("string")).alias("key"))
 
 
 def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +50,48 @@ def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a job: owner and replica set by customer, the third slot empty for each eleventh."""
+    node = lambda i: F.concat(F.lit("n"), F.expr(f"(o_custkey + {i}) % 5").cast("string"))
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), node(0).alias("owner"), F.array(node(0), node(1), F.when(F.expr("o_orderkey % 11 = 0"), "").otherwise(node(2))).alias("replicas"),
+        F.expr("cast(1 + o_orderkey % 4 as int)").alias("state"), F.expr("cast(1 + o_orderkey % 3 as bigint)").alias("epoch"), F.expr("cast(o_custkey % 4 as bigint)").alias("lease_seq"),
+        F.lit(3).cast("bigint").alias("max_attempts"),
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line is a message about its order's job, or about one that nobody knows."""
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.expr("if(l_suppkey % 10 = 0, -l_orderkey, l_orderkey)").alias("job_id"), F.concat(F.lit("n"), F.expr("l_suppkey % 5").cast("string")).alias("sender"),
+        F.concat(F.lit("n"), F.expr("if(l_partkey % 8 = 0, l_partkey, l_suppkey) % 5").cast("string")).alias("new_owner"), F.expr("cast(1 + l_partkey % 4 as bigint)").alias("epoch"),
+        F.expr("l_linenumber % 3 = 0").alias("takeover"), F.expr("cast(1 + l_suppkey % 4 as int)").alias("copy_state"), F.expr("cast(l_linenumber % 5 as bigint)").alias("lease_seq"),
+    )
+
+
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line is an entry of the queue of the node that its supplier stands for."""
+    return read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("n"), F.expr("l_suppkey % 5").cast("string")).alias("node"), F.expr("l_orderkey * 10 + l_linenumber").alias("enq_seq"), F.col("l_orderkey").alias("job_id"),
+        F.expr("l_partkey % 97").alias("not_before"),
+    )
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counter scrapes: the instance's events so far, by second, reset each day."""
+    """Counter scrapes, an event each: every instance each 15 s; counters grow by 7 or so and start anew now and then."""
     return read(spark, sf_dir, "events").select(
-        F.concat(F.lit("node"), F.expr("user_id % 5").cast("string")).alias("instance"), "ts", F.expr("cast(event_id % 1000 as double)").alias("value"), "event_id",
+        F.concat(F.lit("node"), F.expr("event_id % 5").cast("string")).alias("instance"), F.expr("event_id * 3").alias("at"),
+        F.expr("cast((event_id div 5 * 7 + event_id % 3) % 1000 as double)").alias("value"), F.expr("event_id % 3").alias("shard"),
+    )
+
+
+def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrapes of a histogram of four buckets, cumulative."""
+    e = read(spark, sf_dir, "events").select(
+        F.concat(F.lit("node"), F.expr("event_id % 5").cast("string")).alias("instance"), F.expr("event_id * 3").alias("at"), F.expr("event_id div 5").alias("n"),
+        F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0), F.lit(1e18))).alias("le"),
     )
+    return e.select("instance", "at", "le", F.expr("cast(case le when 0.25 then n * 2 when 0.5 then n * 5 when 1.0 then n * 9 else n * 10 end as double)").alias("value"))
 
 
 LOG_SQL = """
@@ -61,13 +101,21 @@ log as (select 'node' || (event_id % 5) node, event_id % 5 log_ord, event_id //
     when 'error' then case when k % 4 = 0 then 6 else 5 end when 'click' then case when k % 2 = 0 then 7 else 3 end end rec_type,
   'j-' || (user_id * 8 + event_id % 8) job_id, cast(1 + k % 3 as bigint) epoch, cast(k % 4 as bigint) lease_seq,
   case when k % 10 < 5 then 1 when k % 10 < 8 then 2 when k % 10 = 8 then 3 else 4 end copy_state,
-  'k-' || (case when user_id % 7 = 0 then user_id * 8 else user_id * 8 + event_id % 8 end) idem_key, ts from e),
-acc0 as (select o_orderkey line_no, 'k-' || (o_orderkey % 1500) key, 'j-' || (o_orderkey % 1500) id,
+  'k-' || (case when user_id % 7 = 0 then user_id * 8 else user_id * 8 + event_id % 8 end) idem_key,
+  case when event_type = 'signup' and event_id % 3 = 0 then 'node' || (event_id % 5) when event_type = 'signup' or (event_type = 'click' and k % 2 = 0) then 'node' || (k % 5) end owner,
+  case when event_type = 'signup' then 'b' || k end body, ts from e),
+acc0 as (select o_orderkey line_no, 'k-' || (o_orderkey // 10) key, 'j-' || (o_orderkey // 10) id,
   case when o_orderkey % 10 = 0 then '503' when o_orderkey % 3 = 0 then '200' else '201' end code from orders),
 acc as (select key, arg_max(id, line_no) id from acc0 where code in ('200', '201') group by key),
-rcp as (select 'k-' || (l_orderkey % 1500) key from lineitem where l_linenumber = 1 and l_orderkey < 4000),
+rcp as (select 'k-' || (l_orderkey // 10) key from lineitem where l_linenumber = 7),
 dlv as (select key, count(*) n from rcp group by key),
 acks as (select l_orderkey txn, cast(l_linenumber % 3 as int) slot, l_discount < 0.05 ok, cast(1 + l_partkey % 4 as int) state, l_suppkey % 9 lease_seq from lineitem),
+jobs as (select o_orderkey job_id, 'n' || (o_custkey % 5) owner, ['n' || (o_custkey % 5), 'n' || ((o_custkey + 1) % 5), case when o_orderkey % 11 = 0 then '' else 'n' || ((o_custkey + 2) % 5) end] replicas,
+  cast(1 + o_orderkey % 4 as int) state, cast(1 + o_orderkey % 3 as bigint) epoch, cast(o_custkey % 4 as bigint) lease_seq, 3::bigint max_attempts from orders),
+msg as (select l_orderkey, l_linenumber, case when l_suppkey % 10 = 0 then -l_orderkey else l_orderkey end job_id, 'n' || (l_suppkey % 5) sender,
+  'n' || (case when l_partkey % 8 = 0 then l_partkey else l_suppkey end % 5) new_owner, cast(1 + l_partkey % 4 as bigint) epoch, l_linenumber % 3 = 0 takeover,
+  cast(1 + l_suppkey % 4 as int) copy_state, cast(l_linenumber % 5 as bigint) lease_seq from lineitem),
+queue as (select 'n' || (l_suppkey % 5) node, l_orderkey * 10 + l_linenumber enq_seq, l_orderkey job_id, l_partkey % 97 not_before from lineitem),
 grown as (select *,
   greatest(1, max(case when rec_type in (1, 2, 3, 7) then epoch end) over w) run_epoch, bool_or(rec_type in (1, 2, 4)) over w has_copy
   from log window w as (partition by job_id order by log_ord, pos rows between unbounded preceding and current row)),

@@ -10,8 +10,10 @@ from ..schemas import BENCH, LOSS_BENCH
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value); files are split by lines only, so line order is file order."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    """(line_no, value). ``line_no`` sorts as lines follow each other: by file name, then by the block of the file that a
+    task reads, then by the line's place in it, whatever tasks the blocks are dealt to."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select(place.alias("line_no"), "value")
 
 
 def accepted(raw: DataFrame) -> DataFrame:
@@ -47,14 +49,22 @@ def bench(spark: SparkSession, path: str, loss: bool = False) -> DataFrame:
     return spark.read.csv(path, header=True, schema=LOSS_BENCH if loss else BENCH)
 
 
-def exposition(samples: DataFrame) -> DataFrame:
-    """(name, labels, value) -> one text line each, for ``write.text``."""
+def exposition(samples: DataFrame, kind: str = "gauge") -> DataFrame:
+    """(name, labels, value) -> one text line each, for ``write.text``; counters are whole numbers, gauges have six
+    decimals."""
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
+    number = F.format_string("%d", F.col("value").cast("bigint")) if kind == "counter" else F.format_string("%.6f", F.col("value").cast("double"))
     return samples.select(F.concat(
-        "name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string"),
+        "name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(""), F.lit(" "), number,
     ).alias("value"))
 
 
+def receipt_lines(received: DataFrame) -> DataFrame:
+    """Deliveries (mono_ms, key, attempt, path, bytes) -> the sink's lines; a missing key or attempt is ``-``."""
+    dash = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
+    return received.select(F.concat_ws(" ", F.col("mono_ms").cast("string"), dash("key"), dash("attempt"), "path", F.col("bytes").cast("string")).alias("value"))
+
+
 def submit_stream(spark: SparkSession, start: int, n: int, prefix: str = "k", gateways: int = 5) -> DataFrame:
     """Sequential submits dealt round-robin to gateways 10, 11, ..."""
     return spark.range(start, start + n).select(

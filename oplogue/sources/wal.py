@@ -6,17 +6,23 @@ but fails in an earlier one; ``permissive``: it ends any segment). Reading never
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schemas import DEAD_LETTER, DONE, EXPIRE, LEASE, LOG_RECORDS, REPLICATE, SUBMIT, TAKEOVER
 
 MAX_BODY = 1 << 16
 SEGMENT_BYTES = 64 << 20
+COMMITTED = "_committed.json"
 
 
 def _crc_table() -> list[int]:
@@ -28,15 +34,28 @@ def _crc_table() -> list[int]:
     return out
 
 
-_CRC = _crc_table()
+_CRC = np.array(_crc_table(), np.uint32)
 
 
 def crc32c(data: bytes) -> int:
     """Castagnoli checksum; Spark's crc32 is another polynomial."""
-    c = 0xFFFFFFFF
-    for b in data:
-        c = c >> 8 ^ _CRC[(c ^ b) & 0xFF]
-    return c ^ 0xFFFFFFFF
+    return int(checksums([data])[0])
+
+
+def checksums(bodies: list[bytes]) -> np.ndarray:
+    """Castagnoli checksums of many bodies, a byte of each at a time."""
+    order = sorted(range(len(bodies)), key=lambda i: -len(bodies[i]))
+    sizes = np.array([len(bodies[i]) for i in order], np.int64)
+    data = np.frombuffer(b"".join(bodies[i] for i in order), np.uint8)
+    at, c = np.cumsum(sizes) - sizes, np.full(len(bodies), 0xFFFFFFFF, np.uint32)
+    live = len(bodies)
+    for k in range(int(sizes[0]) if len(bodies) else 0):
+        while sizes[live - 1] <= k:
+            live -= 1
+        c[:live] = c[:live] >> np.uint32(8) ^ _CRC[(c[:live] ^ data[at[:live] + k]) & np.uint32(0xFF)]
+    out = np.empty(len(bodies), np.uint32)
+    out[order] = c ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 def frame(body: bytes) -> bytes:
@@ -47,18 +66,23 @@ def frame(body: bytes) -> bytes:
 
 def frames(data: bytes) -> Iterator[bytes | None]:
     """Bodies in order; a last None if a bad frame ends the scan before the data does."""
-    at = 0
-    while at < len(data):
-        if at + 8 > len(data):
-            yield None
-            return
-        n, check = struct.unpack_from("<II", data, at)
-        body = data[at + 8 : at + 8 + n]
-        if not 0 < n <= MAX_BODY or len(body) < n or crc32c(body) != check:
-            yield None
-            return
-        yield body
-        at += 8 + n
+    at, torn = 0, False
+    while at < len(data) and not torn:
+        bodies, checks = [], []
+        while at < len(data) and len(bodies) < 4096:
+            n, check = struct.unpack_from("<II", data, at) if at + 8 <= len(data) else (0, 0)
+            if not 0 < n <= MAX_BODY or len(data) < at + 8 + n:
+                torn = True
+                break
+            bodies.append(data[at + 8 : at + 8 + n])
+            checks.append(check)
+            at += 8 + n
+        good = checksums(bodies) == np.array(checks, np.uint32)
+        whole = len(bodies) if good.all() else int(np.argmin(good))
+        yield from bodies[:whole]
+        torn |= whole < len(bodies)
+    if torn:
+        yield None
 
 
 def _endpoint(text: str | None) -> bytes:
@@ -164,50 +188,65 @@ def segments(folder: str) -> list[str]:
     return sorted(f.path for f in found if f.base_name.startswith("wal-") and f.base_name.endswith(".log"))
 
 
+def log_dirs(path: str) -> list[str]:
+    """Log folders that a write to ``path`` committed, in partition order."""
+    system, top = _fs(path)
+    with system.open_input_file(f"{top}/{COMMITTED}") as f:
+        return [f"{path}/{name}" for name in json.loads(f.read())]
+
+
 @dataclass
-class _Folder(InputPartition):
+class _Segment(InputPartition):
     order: int
+    node: str
+    folder: str
     path: str
+    last: bool
 
 
 class WalReader(DataSourceReader):
-    """One partition for each log folder: order within a log matters, logs are independent."""
+    """One partition for each segment. Its name is the LSN of its first record, which gives every record its place."""
 
     def __init__(self, options):
         self.dirs = [d for d in (options.get("dirs") or options.get("path") or "").split(",") if d]
         self.mode = options.get("mode", "stop_at_tear")
 
     def partitions(self):
-        return [_Folder(i, d) for i, d in enumerate(self.dirs)]
-
-    def read(self, partition: _Folder):
-        system, _ = _fs(partition.path)
-        files, pos, node = segments(partition.path), 0, partition.path.rstrip("/").rsplit("/", 1)[-1]
-        for k, path in enumerate(files):
-            with system.open_input_file(path) as f:
-                data = f.read()
-            for body in frames(data):
-                if body is None:
-                    if k < len(files) - 1 and self.mode == "stop_at_tear":
-                        raise ValueError(f"bad frame before the last segment: {path}")
-                    break
-                rec = decode(body)
-                if rec is not None:
-                    j = rec["job"]
-                    yield (
-                        node, partition.order, path.rsplit("/", 1)[-1], pos, rec["lsn"], rec["rec_type"], rec["job_id"], rec["epoch"], rec["lease_seq"],
-                        rec["worker"], rec["new_owner"], tuple(j.values()) if j else None,
-                    )
-                pos += 1
+        out = []
+        for i, d in enumerate(self.dirs):
+            files = segments(d)
+            out += [_Segment(i, d.rstrip("/").rsplit("/", 1)[-1], d, path, path == files[-1]) for path in files]
+        return out or [_Segment(0, "", "", "", True)]
+
+    def read(self, partition: _Segment):
+        if not partition.path:
+            return
+        name = partition.path.rsplit("/", 1)[-1]
+        with _fs(partition.folder)[0].open_input_file(partition.path) as f:
+            data = f.read()
+        for pos, body in enumerate(frames(data), int(name.removeprefix("wal-").removesuffix(".log"))):
+            if body is None:
+                if not partition.last and self.mode == "stop_at_tear":
+                    raise ValueError(f"bad frame before the last segment: {partition.path}")
+                return
+            rec = decode(body)
+            if rec is not None:
+                j = rec["job"]
+                yield (
+                    partition.node, partition.order, name, pos, rec["lsn"], rec["rec_type"], rec["job_id"], rec["epoch"], rec["lease_seq"],
+                    rec["worker"], rec["new_owner"], tuple(j.values()) if j else None,
+                )
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[str]
+    part: int
+    folder: str
 
 
 class WalWriter(DataSourceWriter):
-    """Each task writes a log folder ``path``/part-N of segments; rows keep their order."""
+    """Each task writes a log folder of segments under a name of its own attempt; rows keep their order. Only the folders
+    that Spark commits are listed in ``path``/_committed.json, so what lost attempts wrote is not part of the log."""
 
     def __init__(self, options):
         self.path, self.limit = options["path"], int(options.get("segment_bytes", SEGMENT_BYTES))
@@ -216,26 +255,45 @@ class WalWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         system, top = _fs(self.path)
-        folder = f"{top}/part-{TaskContext.get().partitionId():05d}"
+        part = TaskContext.get().partitionId()
+        name = f"part-{part:05d}-{uuid.uuid4().hex[:8]}"
+        folder = f"{top}/{name}"
         system.create_dir(folder, recursive=True)
-        lsn, out, size, names = 0, None, 0, []
+        lsn, out, size = 0, None, 0
         for row in rows:
             raw = frame(encode(row.asDict(recursive=True), lsn))
             if out is None or size + len(raw) > self.limit:
                 if out:
                     out.close()
-                names.append(f"{folder}/wal-{lsn:020d}.log")
-                out, size = system.open_output_stream(names[-1], compression=None), 0
+                out, size = system.open_output_stream(f"{folder}/wal-{lsn:020d}.log", compression=None), 0
             out.write(raw)
             lsn, size = lsn + 1, size + len(raw)
         if out:
             out.close()
-        return _Written(names)
+        return _Written(part, name)
+
+    def commit(self, messages):
+        system, top = _fs(self.path)
+        names = [m.folder for m in sorted((m for m in messages if m), key=lambda m: m.part)]
+        with system.open_output_stream(f"{top}/{COMMITTED}", compression=None) as f:
+            f.write(json.dumps(names).encode())
 
     def abort(self, messages):
+        system, top = _fs(self.path)
         for m in messages:
-            for name in m.files if m else ():
-                _fs(self.path)[0].delete_file(name)
+            if m:
+                system.delete_dir(f"{top}/{m.folder}")
+
+
+def operator_rows(raw: DataFrame) -> DataFrame:
+    """Rows of the source -> the columns that the log operators take: those of a submitted or replicated job, and those
+    of a fence, under one name each."""
+    j = lambda c: F.col(f"job.{c}")
+    return raw.select(
+        "node", "log_ord", "pos", "lsn", "rec_type", "job_id", F.coalesce("epoch", j("epoch")).alias("epoch"), F.coalesce("lease_seq", j("lease_seq")).alias("lease_seq"),
+        j("state").cast("int").alias("copy_state"), j("idem_key").alias("idem_key"), F.coalesce(j("owner"), "new_owner").alias("owner"),
+        F.decode(j("body"), "UTF-8").alias("body"), j("url").alias("url"), j("visibility_ms").alias("visibility_ms"), j("max_attempts").alias("max_attempts"), j("replicas").alias("replicas"),
+    )
 
 
 class WalSource(DataSource):

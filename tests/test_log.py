@@ -8,14 +8,14 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from oplogue.functions import codes, hashing, text
-from oplogue.operators import merge, metrics, replay
+from oplogue.operators import audit, fences, leases, loads, merge, metrics, placement, replay
 from oplogue.sources import text as lines
 from oplogue.sources import wal
 
 ID = "00000000000000010000000000000002"
 JOB = {
-    "idem_key": "order-1234", "url": "http://10.9.0.99:8081/hook", "body": b"hi", "visibility_ms": 15000, "max_attempts": 3,
-    "replicas": ["10.0.0.1:9000", "10.0.0.1:9001", None], "state": 1, "owner": "10.0.0.1:9000", "epoch": 1, "lease_seq": 0, "attempts": 0,
+    "idem_key": "invoice/77", "url": "http://hooks.test:8443/in", "body": b"{}", "visibility_ms": 4000, "max_attempts": 6,
+    "replicas": ["192.0.2.7:7400", "192.0.2.8:7400", None], "state": 1, "owner": "192.0.2.7:7400", "epoch": 1, "lease_seq": 0, "attempts": 0,
 }
 
 
@@ -26,7 +26,7 @@ def rec(kind, **kw):
 
 ALL = [
     rec(1, job=JOB), rec(2, job=JOB), rec(3, epoch=1, lease_seq=2, worker=2**63 + 1), rec(4, epoch=1, lease_seq=2), rec(5, epoch=1, lease_seq=2),
-    rec(6, epoch=3), rec(7, epoch=4, new_owner="10.0.0.9:65535"),
+    rec(6, epoch=3), rec(7, epoch=4, new_owner="192.0.2.9:65535"),
 ]
 
 
@@ -44,10 +44,10 @@ def test_codec_round_trip_and_truncation():
 
 
 def test_torn_and_flipped_frames_end_the_scan():
-    data = b"".join(wal.frame(x) for x in (b"alpha", b"beta", b"gamma"))
-    assert list(wal.frames(data)) == [b"alpha", b"beta", b"gamma"]
-    assert list(wal.frames(data[:-3])) == [b"alpha", b"beta", None]
-    assert list(wal.frames(data[:-1] + b"?")) == [b"alpha", b"beta", None]
+    data = b"".join(wal.frame(x) for x in (b"one", b"three", b"fifteen"))
+    assert list(wal.frames(data)) == [b"one", b"three", b"fifteen"]
+    assert list(wal.frames(data[:-3])) == [b"one", b"three", None]
+    assert list(wal.frames(data[:-1] + b"?")) == [b"one", b"three", None]
     assert list(wal.frames(b"")) == []
 
 
@@ -61,11 +61,12 @@ def test_source_writes_and_reads_in_order(spark, tmp_path):
     spark.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema).coalesce(1).write.format("oplogue_wal").option(
         "path", str(tmp_path / "w")
     ).option("segment_bytes", 300).mode("append").save()
-    folder = str(tmp_path / "w" / "part-00000")
+    (folder,) = wal.log_dirs(str(tmp_path / "w"))
+    assert [f.name for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")] == [folder.rsplit("/", 1)[-1]]
     assert len(wal.segments(folder)) > 3
     got = spark.read.format("oplogue_wal").option("dirs", f"{folder},{folder}").load()
     assert [r.rec_type for r in got.where("log_ord = 1").orderBy("pos").collect()] == [r["rec_type"] for r in ALL * 3]
-    assert got.where("lsn <> pos").count() == 0 and got.count() == 42
+    assert replay.misplaced(got).count() == 0 and got.count() == 42 and got.rdd.getNumPartitions() > 6
     first = wal.segments(folder)[0]
     with open(first, "r+b") as f:
         f.truncate(20)
@@ -80,19 +81,19 @@ def loop(records):
         t, e, s, c = r["rec_type"], r["epoch"], r["lease_seq"], r["copy_state"]
         key = lambda e, st, q: (e, st == 3, st == 4, q, st == 2)
         if t == 1 or t == 2 and (job is None or key(e, c, s) > key(job["e"], job["st"], job["s"])):
-            job = {"st": c, "e": e, "s": s, "a": s}
+            job = {"st": c, "e": e, "s": s, "a": s, "o": r["owner"], "b": r["body"]}
         elif job is None:
             continue
         elif t == 3 and e >= job["e"] and job["st"] not in (3, 4):
             job |= {"st": 2, "e": e, "s": s, "a": s}
         elif t == 4 and e >= job["e"] and job["st"] != 3:
-            job |= {"st": 3, "e": e}
+            job |= {"st": 3, "e": e, "b": ""}
         elif t == 5 and e >= job["e"] and job["st"] == 2 and s == job["s"]:
             job |= {"st": 1, "e": e}
         elif t == 6 and e >= job["e"] and job["st"] != 3:
             job |= {"st": 4, "e": e}
         elif t == 7 and e > job["e"]:
-            job["e"] = e
+            job |= {"e": e, "o": r["owner"]}
     return job
 
 
@@ -119,15 +120,15 @@ def test_folds_equal_plain_loops(spark):
     rows = []
     for j in range(400):
         for p in range(rng.randint(1, 9)):
-            rows.append(Row(node="n", log_ord=0, pos=j * 10 + p, rec_type=rng.randint(1, 7), job_id=f"j{j}", epoch=rng.randint(1, 3), lease_seq=rng.randint(0, 3), copy_state=rng.randint(1, 4)))
+            rows.append(Row(node="n", log_ord=0, pos=j * 10 + p, rec_type=rng.randint(1, 7), job_id=f"j{j}", epoch=rng.randint(1, 3), lease_seq=rng.randint(0, 3), copy_state=rng.randint(1, 4), owner=f"o{rng.randint(0, 3)}", body="x"))
     rng.shuffle(rows)
     log = spark.createDataFrame(rows)
     by = {}
     for r in sorted(rows, key=lambda r: r.pos):
         by.setdefault(r.job_id, []).append(r.asDict())
-    got = {r.job_id: (r.state, r.epoch, r.lease_seq, r.attempts) for r in replay.replay(log).collect()}
+    got = {r.job_id: (r.state, r.epoch, r.lease_seq, r.attempts, r.owner, r.body) for r in replay.replay(log).collect()}
     want = {k: loop(v) for k, v in by.items()}
-    assert got == {k: (v["st"], v["e"], v["s"], v["a"]) for k, v in want.items() if v}
+    assert got == {k: (v["st"], v["e"], v["s"], v["a"], v["o"], v["b"]) for k, v in want.items() if v}
     facts = {r.job_id: r.state for r in merge.job_facts(log).collect()}
     assert facts == {k: audit_loop(by[k]) for k in facts}
     assert set(facts) == {k for k, v in by.items() if any(r["rec_type"] != 5 for r in v)}
@@ -161,11 +162,17 @@ def test_histogram_golden(spark):
 def test_line_sources(spark, tmp_path):
     (tmp_path / "s").write_text("k1,aa,201\nbad\nk1,bb,200,x\n")
     (tmp_path / "m").write_text('# HELP\nm_bucket{le="0.001"} 3\nm_bucket{le="+Inf"} 4\nok 1.5\n')
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.txt").write_text("k,first,201\n")
+    (folder / "b.txt").write_text("x,y,201\n" * 2000 + "k,second,201\n")
+    with_splits = lines.accepted(lines.lines(spark, str(folder)))
+    assert {r.id for r in audit.accepted_keys(with_splits).where("key = 'k'").collect()} == {"second"}
     a = lines.accepted(lines.lines(spark, str(tmp_path / "s"))).orderBy("line_no").collect()
     assert [(r.key, r.id, r.code) for r in a] == [("k1", "aa", "201"), ("k1", "bb", "200")]
     m = lines.metrics(lines.lines(spark, str(tmp_path / "m")))
     assert m.count() == 3 and {(r.le, r.cum) for r in lines.buckets(m, "m").collect()} == {(0.001, 3), (1e18, 4)}
-    assert sorted(r.value for r in lines.exposition(m).collect())[0].startswith('m_bucket{le="+Inf"}')
+    assert sorted(r.value for r in lines.exposition(m).collect())[0] == 'm_bucket{le="+Inf"} 4.000000'
 
 
 def test_lease_lifecycle_stream(spark, tmp_path):
@@ -194,3 +201,123 @@ def test_lease_lifecycle_stream(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     assert {("a", "created", 0), ("a", "granted", 1), ("a", "expired", 1), ("a", "done", 1), ("b", "duplicate", 0), ("b", "requeued", 1), ("b", "none", 1)} <= got
+
+
+def log_of(spark, records, folder):
+    """Records written as one node's log, read again as operator rows."""
+    wal.register(spark)
+    schema = spark.read.format("oplogue_wal").option("dirs", str(folder)).load().schema
+    rows = [tuple((tuple(r["job"].values()) if r["job"] else None) if f.name == "job" else r.get(f.name) for f in schema) for r in records]
+    spark.createDataFrame(rows, schema).coalesce(1).write.format("oplogue_wal").option("path", str(folder)).option("segment_bytes", 400).mode("append").save()
+    return wal.log_dirs(str(folder))[0]
+
+
+def about(kind, number, **kw):
+    return rec(kind, **kw) | {"job_id": f"{number:032x}"}
+
+
+def held(key, **kw):
+    return JOB | {"idem_key": key} | kw
+
+
+def test_audit_of_real_logs(spark, tmp_path):
+    """Two nodes' logs, lists with odd lines, and the verdict: a loss, a double completion, a twin, an unexplained delivery."""
+    first = [
+        about(1, 1, job=held("k1")), about(3, 1, epoch=1, lease_seq=1), about(4, 1, epoch=1, lease_seq=1), about(1, 2, job=held("k2")), about(3, 2, epoch=1, lease_seq=1),
+        about(1, 3, job=held("k3")), about(3, 3, epoch=1, lease_seq=1), about(4, 3, epoch=1, lease_seq=1), about(1, 4, job=held("k4")), about(6, 4, epoch=1), about(1, 5, job=held("k5")), about(4, 5, epoch=1, lease_seq=1),
+    ]
+    second = [
+        about(2, 1, job=held("k1")), about(7, 3, epoch=2, new_owner="192.0.2.8:7400"), about(3, 3, epoch=2, lease_seq=2), about(4, 3, epoch=2, lease_seq=2), about(1, 9, job=held("k5")), about(4, 9, epoch=1, lease_seq=1),
+    ]
+    dirs = [log_of(spark, first, tmp_path / "n1"), log_of(spark, second, tmp_path / "n2")]
+    log = wal.operator_rows(spark.read.format("oplogue_wal").option("dirs", ",".join(dirs)).load())
+    (tmp_path / "s").write_text("".join(f"k{i},{i:032x},201\n" for i in (1, 2, 3, 4, 5)) + "k7,ff,503\nbad\n")
+    (tmp_path / "r").write_text("1 k1 1 /in 2\n2 k3 1 /in 2\n3 k3 2 /in 2\n4 k5 1 /in 2\n5 k5 1 /in 2\n6 - 1 /in 2\n7 k4 1 /in 2\n8 k4 1 /in 2\nodd\n")
+    accepted, receipts = lines.accepted(lines.lines(spark, str(tmp_path / "s"))), lines.receipts(lines.lines(spark, str(tmp_path / "r")))
+    got = audit.summary(log, accepted, receipts)
+    row = got.first().asDict()
+    assert row == {
+        "logs": 2, "accepted": 5, "lost": 2, "dead_letter": 1, "delivered_keys": 5, "duplicate_deliveries": 3, "fallback_twins": 1, "unexplained": 1, "jobs_seen": 6, "double_done": 1, "passed": False,
+    }
+    assert audit.summary(log, accepted, receipts, allow_dlq=True).first().lost == 1
+    said = audit.verdict_line(got).first()
+    assert said.exit_code == 1 and said.line == "FAIL: accepted=5 lost=2 dead_letter=1 double_done=1 unexplained=1"
+    jobs = {(r.node.split("-")[0], int(r.job_id, 16)): r for r in replay.replay(log).collect()}
+    assert {k[1]: v.state for k, v in jobs.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 9: 3} or len(jobs) == 7
+    first_list = spark.createDataFrame([], accepted.schema)
+    assert audit.summary(log.limit(0), first_list, receipts.limit(0)).first().passed
+
+
+def test_owner_after_takeover_and_fences(spark, tmp_path):
+    folder = log_of(spark, [about(1, 1, job=held("k", owner="192.0.2.7:7400")), about(7, 1, epoch=2, new_owner="192.0.2.8:7400"), about(4, 1, epoch=2, lease_seq=0)], tmp_path / "n")
+    job = replay.replay(wal.operator_rows(spark.read.format("oplogue_wal").option("dirs", folder).load())).first()
+    assert (job.state, job.epoch, job.owner, job.body) == (3, 2, "192.0.2.8:7400", "")
+    jobs = spark.createDataFrame([("a", "x", 2, ["x", "y", ""])], "job_id string, owner string, epoch long, replicas array<string>")
+    said = spark.createDataFrame([("a", "x", 1, False), ("a", "y", 2, False), ("a", "y", 2, True), ("a", "x", 2, False), ("b", "x", 9, False)], "job_id string, sender string, epoch long, takeover boolean")
+    assert [r.status for r in fences.apply_outcome(said.coalesce(1), jobs).orderBy("job_id", "epoch", "sender", "takeover").collect()] == ["stale_epoch", "created", "not_owner", "created", "unknown_job"]
+
+
+def test_metrics_rules(spark):
+    cum = spark.createDataFrame([(0.5, 4), (1.0, 6)], "le double, cum long")
+    more = spark.createDataFrame([(10,)], "count long")
+    assert [r.value for r in metrics.quantiles(cum, [], [0.4, 0.9], counts=more).orderBy("q").collect()] == [500.0, 1000.0]  # past all buckets: the last bound
+    samples = spark.createDataFrame([("a", t, v) for t, v in [(0, 0.0), (15, 15.0), (30, 30.0), (45, 5.0), (60, 20.0)]], "s string, at long, value double")
+    got = {r.at: round(r.increase, 6) for r in metrics.over_range(samples, ["s"], 60, 60).collect()}
+    assert got[60] == round((15 + 5 + 15) * (45 + 15 + 0) / 45, 6)  # (0, 60]: 15 to 30, reset to 5, to 20; half a gap or less added at the ends
+    tie = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0)], "s string, at long, value double")
+    assert metrics.latest(tie, ["s"]).first().value == 3.0
+
+
+def test_small_functions(spark):
+    r = spark.range(1).select(
+        codes.endpoint(F.lit(0xC0000207).cast("bigint"), F.lit(7400)).alias("a"), codes.endpoint_parts(F.lit("192.0.2.7:7400")).alias("b"), codes.endpoint_parts(F.lit("nowhere")).alias("c"),
+        codes.next_port(F.lit("192.0.2.7:7400"), 1).alias("d"), codes.segment_lsn(F.lit("wal-00000000000000000042.log")).alias("e"), codes.segment_lsn(F.lit("x")).alias("f"),
+        text.header_map(F.array(F.lit("A: 1"), F.lit("bad"), F.lit("a:  2"))).alias("g"), text.lower_ascii(F.lit("ÄBc")).alias("h"), text.bounded(F.lit(9), 0, 5).alias("i"),
+        codes.reason(F.lit(404)).alias("j"), codes.delivered(F.lit(204)).alias("k"), codes.retry_ack(F.lit(503)).alias("l"), codes.is_job_id(F.lit("0" * 32)).alias("m"), codes.delta_or_zero(F.lit(1), F.lit(2)).alias("n"),
+        codes.bucket_bound(F.lit(16)).alias("o"), text.bucket_line("x", F.lit(0.5), F.lit(3)).alias("p"), text.captured(F.lit('{"id":"q"}'), "id").alias("q"),
+        text.histogram_lines("h", F.array(F.lit(0.5), F.lit(1e18)), F.array(F.lit(1), F.lit(2)), F.lit(0.25), F.lit(2)).alias("r"), placement.fallback(F.lit("a"), F.array(*map(F.lit, "abcd"))).alias("s"),
+        text.counter_line("c", "", F.lit(3)).alias("t"), text.gauge_line("g", '{s="r"}', F.lit(1.5)).alias("u"),
+    ).first()
+    assert r.a == "192.0.2.7:7400" and tuple(r.b) == (0xC0000207, 7400) and r.c is None and r.d == "192.0.2.7:7401" and (r.e, r.f) == (42, None)
+    assert r.g == {"a": "2"} and r.h == "Äbc" and r.i == 5 and r.j == "Not Found" and r.k and r.l and r.m and r.n == 0 and abs(r.o - 65.536) < 1e-9
+    assert r.p == 'x_bucket{le="0.500"} 3' and r.q == "q" and r.r == ['h_bucket{le="0.500"} 1', 'h_bucket{le="+Inf"} 2', "h_sum 0.250000", "h_count 2"] and r.s == ["a", "b", "c"]
+    assert r.t == "c 3" and r.u == 'g{s="r"} 1.500000'
+
+
+def test_load_runs_and_files(spark, tmp_path):
+    run = spark.createDataFrame([(100, 5, 5, 0, 5, 1.25, 2.0, 3.04)], "rate int, offered long, accepted long, errors long, completed long, p50_ms double, p95_ms double, p99_ms double")
+    line = loads.bench_line(run).first().value
+    (tmp_path / "b.csv").write_text("rate,offered,accepted,errors,completed,p50_ms,p95_ms,p99_ms\n" + line + "\n100,5,4,1,4,1,2,-1\n")
+    back = lines.bench(spark, str(tmp_path / "b.csv"))
+    assert line == "100,5,5,0,5,1.3,2.0,3.0" and metrics.publishable(back).count() == 1
+    assert loads.settled(lambda: True) and not loads.settled(lambda: False, 0.02, 0.01)
+    (tmp_path / "l").write_text("a,1\nb,1\nc,2\nx\n")
+    assert tuple(loads.line_counts(lines.lines(spark, str(tmp_path / "l")), F.col("value").contains(",")).first()) == (3, 2)
+    got = spark.createDataFrame([(5, None, "2", "/in", 3), (6, "k", "", "/in", 0)], "mono_ms long, key string, attempt string, path string, bytes long")
+    assert sorted(r.value for r in lines.receipt_lines(got).collect()) == ["5 - 2 /in 3", "6 k - /in 0"]
+    s = lines.submit_stream(spark, 3, 4).collect()
+    assert [(r.key, r.gateway) for r in s] == [("k-3", 13), ("k-4", 14), ("k-5", 10), ("k-6", 11)]
+    assert 0 < lines.with_faults(spark.range(500), 0.3, 1).where("failed").count() < 500
+    view = leases.lease_view(spark.createDataFrame([("a", "u", b"x", "k", 1, 2, 3)], "job_id string, url string, body binary, idem_key string, epoch long, lease_seq long, visibility_ms long"))
+    assert view.columns == ["job_id", "url", "body", "idem_key", "epoch", "lease_seq", "visibility_ms", "attempt"]
+
+
+def test_delivery_sink(spark, tmp_path):
+    from oplogue.streaming.delivery import delivery_sink
+
+    tried = str(tmp_path / "tried")
+
+    def post(url, headers, body):
+        with open(tried, "a+") as f:
+            f.write(f"{url} {headers.get('Idempotency-Key', '-')}\n")
+            f.seek(0)
+            seen = sum(line.startswith(url + " ") for line in f)
+        return (503 if seen < 3 else 200) if "/ack" in url else 500 if "bad" in url else 204
+
+    jobs = [("a", "http://h/ok", "k1", 1, 1, 1, b"x"), ("b", "http://h/bad", "k2", 2, 1, 2, None)]
+    spark.createDataFrame(jobs, "job_id string, url string, idem_key string, attempt long, epoch long, lease_seq long, body binary").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(delivery_sink(post, "http://h/ack", str(tmp_path / "out"), wait=0.0)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.job_id: (r.code, r.ok, r.ack_code, r.ack_tries) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": (204, True, 200, 3), "b": (500, False, 200, 3)}
