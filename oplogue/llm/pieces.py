@@ -72,7 +72,8 @@ class Frequent:
         got = pa.ipc.open_stream(raw).read_all().combine_chunks()
         self.number = {w: i for i, w in enumerate(got.column("word").to_pylist())}
         self.ids = np.frombuffer(b"".join(got.column("ids").to_pylist()), "<u2").astype(np.int32)
-        self.at = np.r_[0, np.cumsum(got.column("size").to_numpy())].astype(np.int64)
+        self.size = np.r_[got.column("size").to_numpy(), 0].astype(np.int32)
+        self.at = np.r_[0, np.cumsum(got.column("size").to_numpy())].astype(np.int32)
 
 
 def frequent(broadcast, tag: str) -> Frequent:
@@ -155,8 +156,11 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         for b in batches:
             made = []
             for text in b.column(2).to_pylist():
-                own: dict = {}
-                numbers = [known[w] if w in known else len(known) + own.setdefault(w, len(own)) for w in split(text)]
+                words = split(text)
+                numbers = list(map(known.get, words))
+                if None in numbers:
+                    own: dict = {}
+                    numbers = [len(known) + own.setdefault(w, len(own)) if x is None else x for w, x in zip(words, numbers, strict=True)]
                 planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
                 made.append(zstd.compress(planes.tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(made, pa.binary())], names=["file", "row", "doc_id", "code"])
@@ -166,24 +170,31 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         c, f = codec(model), frequent(common, tag)
         zstd = ZstdDecompressor()
 
-        def ids_of(raw: bytes, own: list[bytes]) -> list[int]:
-            number = np.ascontiguousarray(np.frombuffer(zstd.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-            at = np.r_[f.at, f.at[-1] + np.cumsum([len(x) // 2 for x in own], dtype=np.int64)] if own else f.at
-            start, size = at[number], at[number + 1] - at[number]
-            upto = np.cumsum(size)
-            place = np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+        def ids_of(raw: bytes, own: list[bytes]) -> np.ndarray:
+            number = np.ascontiguousarray(np.frombuffer(zstd.decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+            known = np.minimum(number, len(f.number))
+            start, size = f.at[known], f.size[known]
+            if own:  # rare words lie behind the frequent ones
+                rare = number >= len(f.number)
+                n = np.array([len(x) // 2 for x in own], np.int32)
+                size[rare] = n[number[rare] - len(f.number)]
+                start[rare] = (f.at[-1] + np.cumsum(n, dtype=np.int32) - n)[number[rare] - len(f.number)]
+            upto = np.cumsum(size, dtype=np.int32)
+            place = np.repeat(start - upto + size, size)
+            place += np.arange(len(place), dtype=np.int32)
+            if not own:
+                return f.ids[place]
             late = place >= f.at[-1]
             made = np.empty(len(place), np.int32)
             made[~late] = f.ids[place[~late]]
             made[late] = np.frombuffer(b"".join(own), "<u2")[place[late] - f.at[-1]]
-            return made.tolist()
+            return made
 
         def batch(texts):
             ids = [ids_of(raw, own) for _, raw, own in texts]
-            decoded = [c.lib.decode(x) if x else "" for x in ids]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in texts], id_type), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]
-            )
+            decoded = [c.lib.decode(x.tolist()) if len(x) else "" for x in ids]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in texts], id_type), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
         texts: list = []
         id_type = None
@@ -193,7 +204,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 if k >= 0:
                     texts[-1][2].append(raw)
                 else:
-                    if len(texts) >= 1000:
+                    if len(texts) >= 500:
                         yield batch(texts)
                         texts = []
                     texts.append((doc_id, raw, []))
