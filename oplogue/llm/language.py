@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read
 
-BINS = 8192
+#: Bins of n-grams: a text of 120 kB sets under a third of them.
+BINS = 1 << 15
 #: At most so many labelled documents are learned from, and so many of them are landmarks.
 SAMPLE, LANDMARKS = 1500, 160
 UNKNOWN = "und"
@@ -26,7 +27,7 @@ def presence(text: str, out: np.ndarray) -> None:
     code = b.astype(np.uint32)
     for n in (2, 3, 4):
         code = code[:-1] * np.uint32(257) + b[n - 1 :]
-        out[((code * np.uint32(2654435761)) >> np.uint32(19)) & np.uint32(BINS - 1)] = 1
+        out[((code * np.uint32(2654435761)) >> np.uint32(17)) & np.uint32(BINS - 1)] = 1
 
 
 def _letters(text: str | None) -> bool:
@@ -110,7 +111,6 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
                 bits.append(np.packbits(p).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(bits, pa.binary())], names=["id", "lang", "h", "bits"])
 
-    small_batches(spark)
     packed = rows.where(F.col("h") <= last).mapInArrow(pack, "id string, lang string, h long, bits binary")
     got = packed.orderBy("h", "id", "lang", "bits").limit(sample).collect()
     got = [r for r in got if np.frombuffer(r.bits, np.uint8).any()]
@@ -132,7 +132,6 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 langs, scores = m.predict(texts) if m else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    small_batches(spark)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 

@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics."""
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable
-from .common import read, small_batches
+from .common import read
 
 WORDS = 1 << 14
 FACTORS = 8
@@ -26,6 +26,8 @@ STATS = {
     "lines_again": [0.001, 0.05, 0.1, 0.2, 0.35, 0.5, 0.8], "words_once": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
     "words_a_line": [1, 3, 6, 12, 25, 60], "windows_again": [0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.5], "spaces": [0.05, 0.1, 0.14, 0.18, 0.25, 0.4],
     "longest": [5, 10, 15, 20, 30, 60],
+    # Metadata: the length that the row states, by itself and against the text's; -1 where it states none.
+    "stated": [0, 1, 100, 300, 1000, 3000, 10000, 30000], "stated_off": [0, 0.01, 0.1, 0.5, 1.0],
 }
 OFFSETS = dict(zip(STATS, np.cumsum([WORDS, *(len(b) + 1 for b in STATS.values())])[:-1].tolist(), strict=True))
 SIZE = WORDS + sum(len(b) + 1 for b in STATS.values())
@@ -37,7 +39,7 @@ _DIGIT = np.array([48 <= i <= 57 for i in range(256)])
 _SPACE = np.array([i == 32 or 9 <= i <= 13 for i in range(256)])
 
 
-def features(text: str | None, bins: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, stated: int | None, bins: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: hashed distinct words share a unit length, each statistic's bin has 1. Whole text; null is
     empty."""
     raw = (text or "").encode()
@@ -59,6 +61,7 @@ def features(text: str | None, bins: ChunkTable) -> tuple[np.ndarray, np.ndarray
         "digits": int(c[_DIGIT].sum()) / size, "marks": int(c[_MARK].sum()) / size, "lines_again": 1 - len(set(lines)) / max(len(lines), 1),
         "words_once": len(own) / max(n, 1), "words_a_line": n / max(len(lines), 1), "windows_again": again, "spaces": int(c[_SPACE].sum()) / size,
         "longest": max(map(len, own), default=0),
+        "stated": -1 if stated is None else stated, "stated_off": -1 if stated is None else abs(stated - len(text or "")) / max(stated, len(text or ""), 1),
     }
     word = np.unique(np.fromiter(map(bins.__getitem__, own), np.int64, len(own)))
     dense = [OFFSETS[k] + int(np.searchsorted(STATS[k], v, side="right")) for k, v in stats.items()]
@@ -134,24 +137,30 @@ class FactorisationMachine:
         return FactorisationMachine(float(z["b"]), z["w"], z["v"])
 
 
+def stated(docs: DataFrame) -> Column:
+    """The length that a row states for its text, if the table has such a column."""
+    return F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> FactorisationMachine:
     """Learn from at most ``sample`` labelled rows that satisfy ``where``, chosen by a hash of their ids; executors make
     the features. Without labelled rows the machine scores 0.5 throughout."""
     spark = docs.sparkSession
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     chosen = marked.where(where).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "y", F.col(id_col).cast("string").alias("id"))
+    # One row an id, so that no more than ``sample`` rows come back however often ids are repeated.
+    rows = docs.select(F.col(id_col), F.struct(F.col(text_col).alias("text"), stated(docs).alias("stated")).alias("d")).join(F.broadcast(chosen), id_col)
+    rows = rows.groupBy(id_col).agg(F.min("d").alias("d"), F.first("y").alias("y")).select("d.text", "y", F.col(id_col).cast("string").alias("id"), "d.stated")
 
     def make(batches):
         bins = word_bins()
         for b in batches:
-            made = [features(t, bins) for t in b.column(0).to_pylist()]
+            made = [features(t, n, bins) for t, n in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(2), b.column(1), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary())],
                 names=["id", "y", "i", "x"],
             )
 
-    small_batches(spark)
     got = sorted(rows.mapInArrow(make, "id string, y int, i binary, x binary").collect())
     if not got:
         return FactorisationMachine(0.0, np.zeros(SIZE, np.float32), np.zeros((SIZE, FACTORS), np.float32))
@@ -159,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
 
 
 def score(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row from its whole text; null and empty texts score by their structure alone. Repeated
+    """(doc_id, score) for every row from its whole text, however long; null and empty texts score by their structure alone. Repeated
     rows and null ids keep a row each; other columns are not read."""
     spark = docs.sparkSession
     raw = spark.sparkContext.broadcast(machine.dumps())  # a fixed size, whatever the corpus
@@ -167,16 +176,15 @@ def score(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id"
     def run(batches):
         m, bins = FactorisationMachine.loads(raw.value), word_bins()
         for b in batches:
-            made = [features(t, bins) for t in b.column(1).to_pylist()]
+            made = [features(t, n, bins) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             if not made:
                 continue
             at = np.r_[0, np.cumsum([len(i) for i, _ in made])]
             p = m.predict(at, np.concatenate([i for i, _ in made]), np.concatenate([x for _, x in made]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
 
-    small_batches(spark)
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), stated(docs).alias("stated")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
