@@ -455,15 +455,18 @@ def completion_again(spark, d):
     return quorum.completion_again(t.jobs(spark, d).where("state = 3"), backlog)
 
 
-@query(LOG_SQL + f"""select job_id, nullif(list_position(replicas, 'n2'), 0) - 1 slot, list_filter({_ALIVE}, lambda a: a <> 'n0') others,
-  list_concat(['n1'], {_ALIVE}) everyone, len(list_filter(replicas, lambda r: r not in ('', 'n0'))) = 0 or len(list_filter(replicas, lambda r: r not in ('', 'n0') and list_contains({_ALIVE}, r))) > 0 reachable,
-  owner = 'n0' and state not in (3, 4) owned_active, case when owner = 'n0' then ['n0', 'n2', 'n3'] else [owner] || list_filter({_ALIVE}, lambda a: a <> owner)[1:2] end fallback from jobs""")
+@query(LOG_SQL + f"""select job_id, coalesce(list_position(replicas, 'n2'), 0)::bigint - 1 slot, array_to_string(list_filter({_ALIVE}, lambda a: a <> 'n0'), ',') others,
+  array_to_string(list_concat(['n1'], {_ALIVE}), ',') everyone,
+  len(list_filter(replicas, lambda r: r not in ('', 'n0'))) = 0 or len(list_filter(replicas, lambda r: r not in ('', 'n0') and list_contains({_ALIVE}, r))) > 0 reachable,
+  owner = 'n0' and state not in (3, 4) owned_active, array_to_string(case when owner = 'n0' then ['n0', 'n2', 'n3'] else [owner] || list_filter({_ALIVE}, lambda a: a <> owner)[1:2] end, ',') fallback
+  from jobs""")
 def membership(spark, d):
     j, n0 = t.jobs(spark, d), F.lit("n0")
     return j.select(
-        "job_id", quorum.slot_of(F.col("replicas"), F.lit("n2")).cast("bigint").alias("slot"), fences.without_self(_alive(), n0).alias("others"), fences.with_self(_alive(), F.lit("n1")).alias("everyone"),
+        "job_id", F.coalesce(quorum.slot_of(F.col("replicas"), F.lit("n2")), F.lit(-1)).cast("bigint").alias("slot"), F.array_join(fences.without_self(_alive(), n0), ",").alias("others"),
+        F.array_join(fences.with_self(_alive(), F.lit("n1")), ",").alias("everyone"),
         fences.reachable(F.col("replicas"), n0, _alive()).alias("reachable"), ((F.col("owner") == n0) & fences.active(F.col("state"))).alias("owned_active"),
-        placement.fallback(F.col("owner"), _alive()).alias("fallback"),
+        F.array_join(placement.fallback(F.col("owner"), _alive()), ",").alias("fallback"),
     )
 
 
@@ -480,11 +483,11 @@ def fifo_lease(spark, d):
 @query(QUEUE_SQL + """, g as (select job_id, enq_seq, lease_seq, max_attempts, job_id % 2 = 0 ok, len(list_filter(replicas, lambda r: r not in ('', node) and r in ('n0', 'n3'))) > 0 reach from fit)
 select enq_seq, job_id, case when not reach then 'no_quorum' when lease_seq + 1 > max_attempts then 'dead_letter' when ok then 'leased' else 'no_quorum' end outcome,
   case when reach and lease_seq + 1 <= max_attempts then lease_seq + 1 else lease_seq end lease_seq,
-  case when reach and lease_seq + 1 <= max_attempts and not ok then (1000 * pow(2, lease_seq))::bigint end back_off_ms from g""")
+  case when reach and lease_seq + 1 <= max_attempts and not ok then (1000 * pow(2, lease_seq))::bigint else 0 end back_off_ms from g""")
 def grant_outcome(spark, d):
     q = t.queue(spark, d).join(t.jobs(spark, d), "job_id").where("state = 1 and owner = node and not_before <= 20")
     can = fences.reachable(F.col("replicas"), F.col("node"), F.array(F.lit("n0"), F.lit("n3")))
-    return leases.grant(q, F.col("job_id") % 2 == 0, can).select("enq_seq", "job_id", "outcome", "lease_seq", "back_off_ms")
+    return leases.grant(q, F.col("job_id") % 2 == 0, can).select("enq_seq", "job_id", "outcome", "lease_seq", F.coalesce("back_off_ms", F.lit(0)).alias("back_off_ms"))
 
 
 @query(LOG_SQL + "select job_id, log_ord, pos, row_number() over (partition by job_id order by log_ord, pos)::int grant_no from log where rec_type = 3")

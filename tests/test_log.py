@@ -321,3 +321,64 @@ def test_delivery_sink(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.job_id: (r.code, r.ok, r.ack_code, r.ack_tries) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": (204, True, 200, 3), "b": (500, False, 200, 3)}
+
+
+def test_owner_queue_stream(spark, tmp_path):
+    """Queue order, validation, gates, tokens with epochs, expiry, hand-over and adoption, over several batches."""
+    import datetime as dt
+
+    from oplogue.streaming.owner import EVENTS, owner_queue
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    n = iter(range(1000))
+
+    def ev(owner, s, event, job=None, key=None, epoch=None, seq=None, most=None, visible=None, reach=None):
+        return (owner, at(s), next(n), event, job, key, epoch, seq, most, visible, reach)
+
+    batches = [
+        [ev("A", 0, "submit", "j1", "k1", most=2, visible=2000), ev("A", 0, "submit", "j2", "k2", visible=2000), ev("A", 0, "submit", "j9", "k1"), ev("A", 0, "submit", "j8", "x" * 65),
+         ev("A", 1, "poll", reach=False), ev("A", 1, "poll", reach=True), ev("B", 1, "poll", reach=True)],
+        [ev("A", 2, "poll", reach=True), ev("A", 2, "nack", "j2", epoch=1, seq=1), ev("A", 2.5, "poll", reach=True), ev("A", 2.6, "ack", "j2", epoch=1, seq=9)],
+        [ev("A", 4, "ack", "j2", epoch=1, seq=1), ev("A", 4, "poll", reach=True), ev("A", 4.5, "claim", "j1", epoch=1), ev("A", 4.6, "claim", "j1", epoch=2), ev("B", 5, "adopt", "j1", epoch=2, seq=2, most=2, visible=1000)],
+        [ev("B", 5.5, "poll", reach=True), ev("B", 7, "poll", reach=True), ev("B", 8, "ack", "j1", epoch=1, seq=2), ev("B", 8, "ack", "j1", epoch=1, seq=2), ev("A", 9, "ack", "j1", epoch=1, seq=2)],
+    ]
+    src = tmp_path / "src"
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, EVENTS).coalesce(1).write.mode("append").parquet(str(src / f"b{i}"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
+        q = owner_queue(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        rows = spark.read.parquet(str(tmp_path / "o")).collect()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    got = sorted((r.owner, r.at_ms % 1_000_000, r.event, r.job_id, r.epoch, r.lease_seq) for r in rows)
+    base = 1704067200000 % 1_000_000
+    said = [(o, (t - base) / 1000, e, j, ep, s) for o, t, e, j, ep, s in got]
+    want = {
+        ("A", 0.0, "created", "j1", 1, 0), ("A", 0.0, "created", "j2", 1, 0), ("A", 0.0, "duplicate", "j1", 1, 0), ("A", 0.0, "invalid", "j8", None, None), ("A", 1.0, "no_quorum", "j1", 1, 0),
+        ("A", 1.0, "granted", "j1", 1, 1), ("B", 1.0, "no_job", None, None, None), ("A", 2.0, "granted", "j2", 1, 1), ("A", 2.0, "requeued", "j2", 1, 1), ("A", 2.5, "no_job", None, None, None),
+        ("A", 2.6, "not_leased", "j2", 1, 1), ("A", 3.0, "expired", "j1", 1, 1), ("A", 4.0, "done", "j2", 1, 1), ("A", 4.0, "granted", "j1", 1, 2), ("A", 4.5, "stale_epoch", "j1", 1, 2),
+        ("A", 4.6, "handed_over", "j1", 2, 2), ("B", 5.0, "adopted", "j1", 2, 2), ("B", 5.5, "no_job", None, None, None), ("B", 6.0, "expired", "j1", 2, 2), ("B", 7.0, "no_job", None, None, None),
+        ("B", 8.0, "done", "j1", 2, 2), ("B", 8.0, "ok", "j1", 2, 2), ("A", 9.0, "unknown", "j1", None, None),
+    }
+    assert set(said) == want
+
+
+def test_request_outcomes(spark):
+    import datetime as dt
+
+    from oplogue.operators import requests
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    asked = spark.createDataFrame(
+        [(1, "p", at(0), 10), (2, "p", at(10), 10), (3, "p", at(20), 99), (4, "q", at(0), 10), (5, "r", at(0), 10), (6, "r", at(0.1), 10), (7, "r", at(0.2), 10), (8, "p", at(30), 10)],
+        "req_id long, peer string, sent timestamp, bytes long",
+    )
+    got = spark.createDataFrame([("p", at(0)), ("p", at(16)), ("r", at(1)), ("p", at(30.4))], "peer string, got timestamp")
+    died = spark.createDataFrame([("q", at(2)), ("p", at(30.2))], "peer string, died timestamp")
+    rows = requests.outcomes(asked, got, 5000, died, most_bytes=50, in_flight=2).collect()
+    assert {r.req_id: r.outcome for r in rows} == {1: "ok", 2: "timeout", 3: "too_large", 4: "peer_down", 5: "ok", 6: "ok", 7: "busy", 8: "peer_down"}
+    assert {r.req_id: r.got for r in rows}[1] == at(0) and {r.req_id: r.got for r in rows}[2] is None
