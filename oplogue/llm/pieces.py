@@ -12,14 +12,16 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import kept, latest
+from .chunks import grouped, kept, latest
 from .common import TIDY, located, read, settings, shuffle_partitions
 
 MARK = "▁"
@@ -27,6 +29,8 @@ MARK = "▁"
 FREQUENT, SHORT = 1 << 20, 128
 #: Tasks that a longer word may fall to, each of which segments it, so that copies of a hot one spread.
 SPREAD = 64
+#: Characters of texts whose words are looked up together.
+GROUP = 4_000_000
 _marked = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -66,15 +70,32 @@ def split(text: str | None) -> list[str]:
 
 
 class Frequent:
-    """The broadcast table: numbers of words, and their ids end to end."""
+    """The broadcast table, as Arrow arrays: words, and their ids end to end."""
 
     def __init__(self, raw: bytes):
         got = pa.ipc.open_stream(raw).read_all().combine_chunks()
-        self.number = {w: i for i, w in enumerate(got.column("word").to_pylist())}
+        self.words = got.column("word").combine_chunks() if len(got) else pa.array([], pa.string())
         self.ids = np.frombuffer(b"".join(got.column("ids").to_pylist()), "<u2").astype(np.int32)
         self.size = np.r_[got.column("size").to_numpy(), 0].astype(np.int32)
         self.at = np.r_[0, np.cumsum(got.column("size").to_numpy())].astype(np.int32)
 
+    def numbered(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """For each text the numbers of its words, and its distinct words that have none here, which are numbered on from
+        the last in order of appearance. Words are looked up once for texts of about ``GROUP`` characters."""
+        for s, e in grouped([len(t or "") for t in texts], GROUP):
+            said = [split(t) for t in texts[s:e]]
+            flat = list(chain.from_iterable(said))
+            coded = pa.array(flat, pa.string()).dictionary_encode()
+            known = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy()
+            number = known[coded.indices.to_numpy()] if len(flat) else np.empty(0, np.int32)
+            at = 0
+            for words in said:
+                own, rare = number[at : at + len(words)], {}
+                for i in np.flatnonzero(own < 0).tolist():
+                    own[i] = len(self.words) + rare.setdefault(words[i], len(rare))
+                at += len(words)
+                yield own, list(rare)
+
 
 def frequent(broadcast, tag: str) -> Frequent:
     """The worker's table of the call ``tag``; an earlier call's makes way for it."""
@@ -139,11 +160,10 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def rare(batches):
         """The words of each text that were not broadcast, numbered in order of appearance."""
-        known = frequent(common, tag).number
+        f = frequent(common, tag)
         for b in batches:
             out = ([], [], [], [])
-            for file, row, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                new = dict.fromkeys(w for w in split(text) if w not in known)
+            for file, row, (_, new) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), f.numbered(b.column(2).to_pylist()), strict=True):
                 for column, made in zip(out, ([file] * len(new), [row] * len(new), range(len(new)), new), strict=True):
                     column.extend(made)
             arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)]
@@ -151,19 +171,10 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def code(batches):
         """Each text as the numbers of its words, in planes of bytes that compress well; rare words follow the others."""
-        known = frequent(common, tag).number
-        zstd = ZstdCompressor(level=1)
+        f, zstd = frequent(common, tag), ZstdCompressor(level=1)
         for b in batches:
-            made = []
-            for text in b.column(2).to_pylist():
-                words = split(text)
-                numbers = list(map(known.get, words))
-                if None in numbers:
-                    own: dict = {}
-                    numbers = [len(known) + own.setdefault(w, len(own)) if x is None else x for w, x in zip(words, numbers, strict=True)]
-                planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-                made.append(zstd.compress(planes.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(made, pa.binary())], names=["file", "row", "doc_id", "code"])
+            made = [zstd.compress(number.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for number, _ in f.numbered(b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(made, pa.binary())], names=["file", "row", "doc_id", "raw"])
 
     def assemble(batches):
         """Rows of one text follow each other: its numbers first, then the ids of its rare words in order."""
@@ -172,13 +183,13 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
         def ids_of(raw: bytes, own: list[bytes]) -> np.ndarray:
             number = np.ascontiguousarray(np.frombuffer(zstd.decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
-            known = np.minimum(number, len(f.number))
+            known = np.minimum(number, len(f.words))
             start, size = f.at[known], f.size[known]
             if own:  # rare words lie behind the frequent ones
-                rare = number >= len(f.number)
+                rare = number >= len(f.words)
                 n = np.array([len(x) // 2 for x in own], np.int32)
-                size[rare] = n[number[rare] - len(f.number)]
-                start[rare] = (f.at[-1] + np.cumsum(n, dtype=np.int32) - n)[number[rare] - len(f.number)]
+                size[rare] = n[number[rare] - len(f.words)]
+                start[rare] = (f.at[-1] + np.cumsum(n, dtype=np.int32) - n)[number[rare] - len(f.words)]
             upto = np.cumsum(size, dtype=np.int32)
             place = np.repeat(start - upto + size, size)
             place += np.arange(len(place), dtype=np.int32)
