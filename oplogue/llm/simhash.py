@@ -170,13 +170,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(found, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-#: Near copies by Jaccard similarity: shingles of five words, 128 bits in six segments, and the bits in which candidates
+#: Near copies by Jaccard similarity: shingles of five words, fingerprints of 128 bits, and the bits in which candidates
 #: may differ. At similarity 0.8 two fingerprints differ in 19 bits on average, with a deviation of 4.
 WORDS, SIMILAR, RADIUS = 5, 0.8, 32
-#: The six segments of two longs, 21 or 22 bits each. Two fingerprints at up to 11 bits leave one segment with at most
-#: one differing bit; those farther apart meet where chance leaves one so, and every candidate's texts are compared.
-_SEGMENTS = [(f"({x} & 2097151L)", 21) for x in ("lo", "hi")] + [(f"(shiftrightunsigned({x}, 21) & 2097151L)", 21) for x in ("lo", "hi")] + [(f"shiftrightunsigned({x}, 42)", 22) for x in ("lo", "hi")]
-WIDE = f"concat({', '.join(_variants(x, width, 32 * i) for i, (x, width) in enumerate(_SEGMENTS))})"
+#: Eight segments of 24 bits, drawn from the 128: each bit is in one or two. Two texts are compared where one segment of
+#: theirs has at most one differing bit. Longer segments bring fewer chance meetings, and fewer pairs near the threshold.
+SEGMENTS, WIDTH = 8, 24
+_drawn = np.random.default_rng(11)
+BITS_OF = np.concatenate([_drawn.permutation(128), _drawn.permutation(128)])[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
+WIDE = f"flatten(transform(segments, (segment, s) -> transform(sequence(0, {WIDTH - 1}), i -> (segment & ~shiftleft(1L, i)) | shiftleft(cast(s * 32 + i as bigint), 32))))"
 
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
@@ -188,12 +190,12 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.frombuffer(b"".join(xxh3_128_digest(b" ".join(r)) for r in runs) if words else b"", "<u8").reshape(-1, 2)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    """Majority bits of the two longs; zero without shingles."""
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The 128 majority bits; none set without shingles."""
     ones = np.zeros(128, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(np.ascontiguousarray(hashes[at : at + 4096]).view(np.uint8), bitorder="little").reshape(-1, 128).sum(axis=0, dtype=np.int64)
-    return tuple(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist())
+    return 2 * ones > len(hashes)
 
 
 def _near(batches):
@@ -229,17 +231,18 @@ def _near(batches):
 
 
 def candidates(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Distinct fingerprints (hi, lo) -> distinct pairs (ahi, alo, bhi, blo) to compare, linear in what the buckets hold.
+    """Distinct fingerprints (hi, lo, segments) -> distinct pairs (ahi, alo, bhi, blo) to compare, linear in what the buckets hold.
 
     Buckets of more than ``bucket`` fingerprints are cut by the variants of the other segments.
     """
     n = shuffle_partitions(fps.sparkSession)
-    spread = fps.select("hi", "lo").repartition(n, "hi", "lo")
+    spread = fps.select("hi", "lo", "segments").repartition(n, "hi", "lo")
     rows = _counted(spread.select("hi", "lo", F.explode(F.expr(WIDE)).alias("key")))
     hot = rows.where(F.col("n") > bucket)
     parts = [rows.where(F.col("n") <= bucket).select("key", "hi", "lo")]
     if not hot.isEmpty():
-        fine = hot.select("hi", "lo", "key", F.explode(F.expr(WIDE)).alias("sub")).where("shiftright(sub, 37) <> shiftright(key, 37)")
+        again = hot.select("hi", "lo", "key").join(fps.select("hi", "lo", "segments"), ["hi", "lo"])
+        fine = again.select("hi", "lo", "key", F.explode(F.expr(WIDE)).alias("sub")).where("shiftright(sub, 37) <> shiftright(key, 37)")
         parts.append(_counted(fine.select("hi", "lo", F.xxhash64("key", "sub").alias("key"))).select("key", "hi", "lo"))
     out = None
     for part in parts:
@@ -259,8 +262,12 @@ def near_copies(rows: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET)
     """
     def marked(batches):
         for b in batches:
-            made = np.array([wide_fingerprint(shingles(t)) for t in b.column(3).to_pylist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made[:, 0]), pa.array(made[:, 1])], names=["id", "file", "row", "hi", "lo"])
+            bits = np.array([wide_fingerprint(shingles(t)) for t in b.column(3).to_pylist()], bool).reshape(-1, 128)
+            made = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            drawn = bits[:, BITS_OF.ravel()].reshape(-1, SEGMENTS, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
+            segments = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * SEGMENTS, pa.int32()), pa.array(drawn.ravel()))
+            columns = [b.column(0), b.column(1), b.column(2), pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy()), segments]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "file", "row", "hi", "lo", "segments"])
 
     def sets(batches):
         for b in batches:
@@ -268,10 +275,10 @@ def near_copies(rows: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], names=["hi", "lo", "own"])
 
     kind = dict(rows.dtypes)["id"]
-    own = cut(rows.select("id", "file", "row", "text").mapInArrow(marked, f"id {kind}, file long, row long, hi long, lo long"))
-    one = own.groupBy("hi", "lo").agg(F.min(F.struct("file", "row")).alias("one")).select("hi", "lo", "one.file", "one.row")
+    own = cut(rows.select("id", "file", "row", "text").mapInArrow(marked, f"id {kind}, file long, row long, hi long, lo long, segments array<long>"))
+    one = own.groupBy("hi", "lo").agg(F.min(F.struct("file", "row", "segments")).alias("one")).select("hi", "lo", "one.*")
     pairs = cut(candidates(one, bucket))
-    wanted = one.join(pairs.select("a.*").union(pairs.select("b.*")).distinct(), ["hi", "lo"])
+    wanted = one.select("hi", "lo", "file", "row").join(pairs.select("a.*").union(pairs.select("b.*")).distinct(), ["hi", "lo"])
     held = table(rows.join(wanted, ["file", "row"]).select("hi", "lo", "text").mapInArrow(sets, "hi long, lo long, own array<long>"), "shingles")
     left = held.select(F.struct("hi", "lo").alias("a"), F.col("own").alias("of_a"))
     right = held.select(F.struct("hi", "lo").alias("b"), F.col("own").alias("of_b"))
