@@ -63,7 +63,7 @@ def table(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{under}/{name}-{uuid.uuid4().hex[:8]}" if under else shared_folder(spark, name)
     with settings(spark, TIDY):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -161,12 +161,12 @@ def _matches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(anchor[match])], names=["anchor"])
 
 
-ENTRY = "prefix binary, anchor long, n long, place struct<file:long,row:long,at:int>"
+ENTRY = "prefix binary, anchor long, n long, file long, row long, at int"
 
 
 class IndexFamily:
-    """Sorted suffix arrays on disk, at most one of each size: a new batch is merge-scanned with all of them for suffixes
-    in common, then merged with its equals, as a carry runs through a binary number.
+    """Sorted suffix arrays on disk, the levels: a new batch is merge-scanned with all of them for suffixes in common and
+    becomes a level itself. Before the next batch, levels of equal size merge, as a carry runs through a binary number.
 
     The arrays lie in ``folder`` of the shared file system, with a list of them, so that another call can add to them.
     """
@@ -176,11 +176,11 @@ class IndexFamily:
 
         self.spark, self.folder = spark, folder
         self.system, self.at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-        self.levels, self.found, self.taken = {}, [], []
+        self.levels, self.found, self.taken = [], [], []
         if self.system.get_file_info(f"{self.at}/family.json").type == fs.FileType.File:
             with self.system.open_input_file(f"{self.at}/family.json") as f:
                 held = json.loads(f.read())
-            self.levels, self.found, self.taken = {int(k): v for k, v in held["levels"].items()}, held["found"], held["taken"]
+            self.levels, self.found, self.taken = held["levels"], held["found"], held["taken"]
 
     def _save(self) -> None:
         with self.system.open_output_stream(f"{self.at}/family.json") as f:
@@ -189,10 +189,30 @@ class IndexFamily:
     def _write(self, df: DataFrame, name: str) -> str:
         return table(df, name, self.folder).inputFiles()[0].rsplit("/", 1)[0]
 
-    def _array(self, df: DataFrame) -> DataFrame:
-        """Entries merged where their bytes are equal, in order: ranges of the order to partitions."""
-        one = df.groupBy("prefix").agg(F.min("anchor").alias("anchor"), F.sum("n").alias("n"), F.min("place").alias("place"))
-        return one.repartitionByRange(shuffle_partitions(self.spark), "prefix").sortWithinPartitions("prefix")
+    def _ordered(self, df: DataFrame) -> DataFrame:
+        """Ranges of the order to partitions, each in order."""
+        return df.repartitionByRange(shuffle_partitions(self.spark), "prefix").sortWithinPartitions("prefix")
+
+    @staticmethod
+    def _merged(df: DataFrame) -> DataFrame:
+        """One entry for equal bytes."""
+        return df.groupBy("prefix").agg(F.first("anchor").alias("anchor"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("file", "row", "at")))
+
+    def carry(self) -> None:
+        """Merge levels of equal size until all sizes differ."""
+        old = []
+        while len({size for size, _ in self.levels}) < len(self.levels):
+            self.levels.sort()
+            k = next(i for i in range(len(self.levels) - 1) if self.levels[i][0] == self.levels[i + 1][0])
+            (size, a), (_, b) = self.levels[k], self.levels[k + 1]
+            # Dealt by ranges already, equal entries need no other shuffle to meet.
+            line = self._level(a).union(self._level(b)).repartitionByRange(shuffle_partitions(self.spark), "prefix")
+            self.levels[k : k + 2] = [[2 * size, self._write(self._merged(line).sortWithinPartitions("prefix").select("prefix", "anchor", "n", "file", "row", "at"), "level")]]
+            old += [a, b]
+        if old:
+            self._save()
+        for path in old:
+            remove(self.spark, path)
 
     def _level(self, path: str) -> DataFrame:
         return self.spark.read.schema(ENTRY).parquet(path)
@@ -203,28 +223,18 @@ class IndexFamily:
 
     def add(self, batch: DataFrame) -> None:
         """``batch`` (file, row, text) of new rows."""
-        entries = _scan(batch, False).select("prefix", "anchor", F.lit(1).cast("long").alias("n"), F.struct("file", "row", "at").alias("place"))
-        size, level = 1, self._write(self._array(entries), "level")
-        array = self._level(level)
-        merged = [array.where("n > 1").select("anchor")]
-        for other in self.levels.values():
+        self.carry()
+        entries = _scan(batch, False).withColumn("n", F.lit(1).cast("long"))
+        path = self._write(self._ordered(self._merged(entries)).select("prefix", "anchor", "n", "file", "row", "at"), "level")
+        array = self._level(path)
+        union = array.where("n > 1").select("anchor")
+        for _, other in self.levels:
             both = array.select("prefix", "anchor").union(self._level(other).select("prefix", "anchor"))
-            line = both.repartitionByRange(shuffle_partitions(self.spark), "prefix").sortWithinPartitions("prefix")
-            merged.append(line.mapInArrow(_matches, "anchor long"))
-        union = merged[0]
-        for x in merged[1:]:
-            union = union.union(x)
+            union = union.union(self._ordered(both).mapInArrow(_matches, "anchor long"))
         self.found.append(self._write(union, "repeated"))
-        old = []
-        while size in self.levels:
-            old += [level, self.levels.pop(size)]
-            level = self._write(self._array(self._level(old[-2]).union(self._level(old[-1]))), "level")
-            size *= 2
-        self.levels[size] = level
+        self.levels.append([1, path])
         self.taken.append(self._write(batch.select("file", "row"), "taken"))
         self._save()
-        for path in old:
-            remove(self.spark, path)
 
     def repeated(self) -> DataFrame:
         """Anchors of all suffixes found twice or more, in a batch or across."""
