@@ -134,8 +134,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
     if distance > DISTANCE:
         raise ValueError("two halves find up to three differing bits")
     n = shuffle_partitions(fps.sparkSession)
-    # A row becomes 64: they are made in as many tasks as will take them.
-    rows = fps.select("fp").repartition(n, "fp").select("fp", F.explode(F.expr(FIRST)).alias("key"))
+    # A row becomes 64: they are made in as many tasks as will take them. (By fp itself, the planner would leave it out.)
+    rows = fps.select("fp").repartition(n, F.xxhash64("fp")).select("fp", F.explode(F.expr(FIRST)).alias("key"))
     rows = _counted(rows.withColumn("rest", F.expr(f"if(shiftrightunsigned(key, 37) = 0, {HIGH}, {LOW})")))
     out = None
     for width in (32, 16, 0):
@@ -236,7 +236,7 @@ def candidates(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Buckets of more than ``bucket`` fingerprints are cut by the variants of the other segments.
     """
     n = shuffle_partitions(fps.sparkSession)
-    spread = fps.select("hi", "lo", "segments").repartition(n, "hi", "lo")
+    spread = fps.select("hi", "lo", "segments").repartition(n, F.xxhash64("hi", "lo"))
     rows = _counted(spread.select("hi", "lo", F.explode(F.expr(WIDE)).alias("key")))
     hot = rows.where(F.col("n") > bucket)
     parts = [rows.where(F.col("n") <= bucket).select("key", "hi", "lo")]
