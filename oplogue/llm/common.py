@@ -34,12 +34,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so later stages survive lost executors without recomputing it."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 @contextmanager
 def settings(spark: SparkSession, conf: dict[str, str]):
     """Session settings for as long as the block runs."""
@@ -57,12 +51,23 @@ def settings(spark: SparkSession, conf: dict[str, str]):
 TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
+#: Bytes that a Python worker is handed at a time, where texts pass through it on the way to a table.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so later stages survive lost executors without recomputing it."""
+    shared_root(df.sparkSession)
+    with settings(df.sparkSession, SMALL):
+        return df.checkpoint(eager=True)
+
+
 def table(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
     """Like :func:`cut`, as Parquet: smaller on disk for wide rows, and in a folder that can be removed early. The
     shuffle files behind it are not kept."""
     spark = df.sparkSession
     path = f"{under}/{name}-{uuid.uuid4().hex[:8]}" if under else shared_folder(spark, name)
-    with settings(spark, TIDY):
+    with settings(spark, TIDY | SMALL):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
